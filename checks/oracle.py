@@ -379,10 +379,10 @@ _CORE = "coalesce(speed_mph, current_amps, voltage_volts, soc) IS NOT NULL"
 _30S = "make_timestamp(cast(floor(epoch(timestamp) / 30) AS bigint) * 30000000)"
 CTE["sample"] = f"""
 SELECT * REPLACE (ac_compressor_on <> 0 AS ac_compressor_on)
-FROM ({wide(f"vehicle_id, {_30S} AS at,", "sig", "ALL")}) WHERE {_CORE}""".replace(
-    "GROUP BY ALL", "GROUP BY vehicle_id, at"
+FROM ({wide(f"vehicle_id, {_30S} AS moment,", "sig", "ALL")}) WHERE {_CORE}""".replace(
+    "GROUP BY ALL", "GROUP BY vehicle_id, moment"
 )
-_SAMPLE = "vehicle_id, at AS timestamp, " + ", ".join(SIGNALS)
+_SAMPLE = "vehicle_id, moment AS timestamp, " + ", ".join(SIGNALS)
 add("asm1", f"SELECT {_SAMPLE} FROM sample")
 add(
     "asm2",
@@ -394,11 +394,11 @@ GROUP BY vehicle_id, floor(epoch(timestamp) / 3)""",
 )
 add(
     "asm3",
-    "SELECT vehicle_id, at AS timestamp, cast(trunc(speed_mph * 1.60934e0) AS int) AS speed_kmh FROM sample",
+    "SELECT vehicle_id, moment AS timestamp, cast(trunc(speed_mph * 1.60934e0) AS int) AS speed_kmh FROM sample",
 )
 add(
     "asm3_exact",
-    "SELECT vehicle_id, at AS timestamp, cast(round(speed_mph / 0.621371e0) AS int) AS speed_kmh FROM sample",
+    "SELECT vehicle_id, moment AS timestamp, cast(round(speed_mph / 0.621371e0) AS int) AS speed_kmh FROM sample",
 )
 add(
     "asm4",
@@ -415,7 +415,7 @@ add(
 )
 CTE["state"] = wide("vehicle_id,", "sig", "vehicle_id")
 add("liv1", "SELECT * FROM state")
-add("liv2", "SELECT vehicle_id, at AS timestamp, current_amps * voltage_volts / 1000e0 AS power_kw FROM sample")
+add("liv2", "SELECT vehicle_id, moment AS timestamp, current_amps * voltage_volts / 1000e0 AS power_kw FROM sample")
 
 
 def live_eff(speed: str, power: str) -> str:
@@ -431,32 +431,32 @@ add(
 )
 add(
     "liv4",
-    """SELECT vehicle_id, at AS timestamp,
+    """SELECT vehicle_id, moment AS timestamp,
   current_amps * voltage_volts / 1000e0 - hvac_measured_power_w / 1000e0 AS drivetrain_power_kw FROM sample""",
 )
 add(
     "liv5",
-    "SELECT vehicle_id, at AS timestamp, battery_max_temp_c - battery_min_temp_c AS battery_temp_spread_c FROM sample",
+    "SELECT vehicle_id, moment AS timestamp, battery_max_temp_c - battery_min_temp_c AS battery_temp_spread_c FROM sample",
 )
 add(
     "liv6",
-    """SELECT vehicle_id, at AS timestamp,
-  distance_mi - first(distance_mi) OVER (PARTITION BY vehicle_id ORDER BY at) AS relative_distance
+    """SELECT vehicle_id, moment AS timestamp,
+  distance_mi - first(distance_mi) OVER (PARTITION BY vehicle_id ORDER BY moment) AS relative_distance
 FROM sample WHERE distance_mi IS NOT NULL""",
 )
 add(
     "liv6_resets",
-    """, reading AS (SELECT vehicle_id, at, distance_mi FROM sample WHERE distance_mi IS NOT NULL),
+    """, reading AS (SELECT vehicle_id, moment, distance_mi FROM sample WHERE distance_mi IS NOT NULL),
 reset AS (
   SELECT 'v' || ((event_id // 200) % 3) AS vehicle_id,
     make_timestamp((1704067200 + event_id) * 1000000) AS reset_at
   FROM events WHERE event_id % 150 = 75),
 zero AS (
   SELECT r.vehicle_id, r.reset_at, coalesce(d.distance_mi, 0e0) AS zero
-  FROM reset r ASOF LEFT JOIN reading d ON d.vehicle_id = r.vehicle_id AND d.at <= r.reset_at)
-SELECT d.vehicle_id, d.at AS timestamp, d.distance_mi - coalesce(z.zero,
-  first(d.distance_mi) OVER (PARTITION BY d.vehicle_id ORDER BY d.at)) AS relative_distance
-FROM reading d ASOF LEFT JOIN zero z ON z.vehicle_id = d.vehicle_id AND z.reset_at < d.at""",
+  FROM reset r ASOF LEFT JOIN reading d ON d.vehicle_id = r.vehicle_id AND d.moment <= r.reset_at)
+SELECT d.vehicle_id, d.moment AS timestamp, d.distance_mi - coalesce(z.zero,
+  first(d.distance_mi) OVER (PARTITION BY d.vehicle_id ORDER BY d.moment)) AS relative_distance
+FROM reading d ASOF LEFT JOIN zero z ON z.vehicle_id = d.vehicle_id AND z.reset_at < d.moment""",
 )
 # The statement above continues the list of named subqueries.
 ORACLE["liv6_resets"] = ORACLE["liv6_resets"].replace(")\n, reading AS", "),\nreading AS")
@@ -872,5 +872,5 @@ add("str5", "SELECT * FROM state")
 add(
     "str6",
     f"""SELECT {_SAMPLE} FROM sample
-WHERE epoch(at) + 30 <= (SELECT max(epoch(timestamp)) FROM sig)""",
+WHERE epoch(moment) + 30 <= (SELECT max(epoch(timestamp)) FROM sig)""",
 )

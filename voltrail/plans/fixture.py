@@ -102,11 +102,14 @@ def frames(events: DataFrame) -> DataFrame:
     def hex_of(value, digits):
         return F.lpad(F.hex(value), digits, "0")
 
-    body = F.lit(None).cast("string")
-    for i, (mark, size) in enumerate(_FRAME_MARKS):
-        number = (e * 37) % 256 if size == 1 else (e * 7919) % 65536
-        length = F.lit(f"{len(mark) // 2 + size:02X}")
-        body = F.when(slot == i, F.concat(length, F.lit(mark), hex_of(number, 2 * size))).otherwise(body)
+    marks = F.array(
+        *[F.struct(F.lit(m).alias("mark"), F.lit(n).alias("size")) for m, n in _FRAME_MARKS]
+    )
+    known = F.get(marks, slot.cast("int"))
+    mark, size = known["mark"], known["size"]
+    number = F.when(size == 1, (e * 37) % 256).otherwise((e * 7919) % 65536)
+    length = hex_of((F.length(mark) / 2).cast("int") + size, 2)
+    body = F.concat(length, mark, F.lpad(F.hex(number), 2 * size, F.lit("0")))
     spaced = F.concat(F.lit("7EC "), F.regexp_replace(body, "(..)", "$1 "), F.lit("\r"))
     text = (
         F.when(e % 3 == 1, spaced)
