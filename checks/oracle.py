@@ -411,7 +411,7 @@ SELECT vehicle_id, id, timestamp, {MEASURES},
 add(
     "asm5",
     """SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) AS n_times,
-  count_if(synced AND speed_kmh > 50) AS n_synced, count(*) AS n_flags FROM store""",
+  cast(count_if(synced AND speed_kmh > 50) AS bigint) AS n_synced, count(*) AS n_flags FROM store""",
 )
 CTE["state"] = wide("vehicle_id,", "sig", "vehicle_id")
 add("liv1", "SELECT * FROM state")
@@ -498,7 +498,7 @@ FROM store WHERE NOT synced""",
     )
 add(
     "sto10",
-    "SELECT count_if(NOT synced) AS pending, count_if(synced) AS total_synced FROM store",
+    "SELECT cast(count_if(NOT synced) AS bigint) AS pending, cast(count_if(synced) AS bigint) AS total_synced FROM store",
 )
 
 # --- silver ----------------------------------------------------------------
