@@ -4,21 +4,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import mixing, quality
+from voltrail.llm import language, mixing, pieces, quality
 from voltrail.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_mix_sources": op4_mix_sources,
+    "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
 }

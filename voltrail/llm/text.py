@@ -32,3 +32,15 @@ def word_count(text: Column) -> Column:
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo ``n``; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+#: Rows and bytes that a Python worker gets at once; texts may be very long.
+BATCH_ROWS = 1_000
+BATCH_BYTES = "16m"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Bound the batches that Python workers get from this session."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
