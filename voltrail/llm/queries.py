@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import html, language, mixing, neighbours, pieces, quality
+from voltrail.llm import html, language, language_model, mixing, neighbours, pieces, quality
 from voltrail.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_all(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_neighbours": op3_neighbours,
@@ -41,4 +45,5 @@ QUERIES: dict[str, Query] = {
     "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
     "op8_main_text": op8_main_text,
+    "op9_language_model": op9_language_model,
 }
