@@ -37,6 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltrail.llm.hashing import word_hashes
 from voltrail.llm.text import bounded_batches, id_remainder
 from voltrail.session import checkpointed, scratch
 
@@ -46,56 +47,14 @@ RANGE_TOKENS = 4_000_000
 #: Pairs that a counting task holds before it adds up equal ones.
 HELD_PAIRS = 3_000_000
 
-#: Characters of several texts that are hashed together.
-TOGETHER = 2_000_000
-
-_U64 = np.uint64
-_RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RANDOM.integers(1, 1 << 63, size=256, dtype=_U64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z read as a-z
-_BASE = _U64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U64(pow(int(_BASE), -1, 1 << 64))
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: The hash of the end token; no word has it but by chance.
 END = np.int64(-6148914691236517205)
-_POWERS = [np.ones(1, dtype=_U64), np.ones(1, dtype=_U64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 22)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, base, dtype=_U64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of all texts in order, and tokens per text."""
-    if len(texts) > 1 and sum(map(len, texts)) > TOGETHER:  # bounds what is held at once
-        half = len(texts) // 2
-        parts = [tokens(texts[:half]), tokens(texts[half:])]
-        return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    blank = _BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
-        edge = np.r_[0, edge]
-    starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(data))
-    sums = np.r_[_U64(0), np.cumsum(_BYTE[data] * power, dtype=_U64)]
-    words = (sums[ends] - sums[starts]) * inverse[starts]
-    words ^= words >> _U64(29)
-    words *= _U64(0xBF58476D1CE4E5B9)
-    words ^= words >> _U64(32)
-    bounds = np.cumsum([0, *[len(r) + 1 for r in raw]])
-    per_text = np.diff(np.searchsorted(starts, bounds))
-    out = np.insert(words.view(np.int64), np.cumsum(per_text), END)
-    return out, per_text + 1
+    words, per_text = word_hashes(texts, fold=True)
+    return np.insert(words.view(np.int64), np.cumsum(per_text), END), per_text + 1
 
 
 # --- stored arrays ---------------------------------------------------------

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import html, language, language_model, mixing, neighbours, pieces, quality
+from voltrail.llm import html, jaccard, language, language_model, mixing, neighbours, pieces, quality
 from voltrail.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_neighbours": op3_neighbours,
     "op4_mix_sources": op4_mix_sources,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
     "op8_main_text": op8_main_text,
