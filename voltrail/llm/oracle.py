@@ -67,7 +67,38 @@ marked AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM marked"""
 
+_LINES = """
+WITH split AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l,
+    unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+long AS (SELECT * FROM split WHERE length(l) >= 20),
+firsts AS (
+  SELECT l, min({d: doc_id, i: i}) AS place FROM long GROUP BY l),
+halves AS (
+  SELECT l, place, m, 'head' AS side, left(l, m // 2) AS part
+  FROM (SELECT l, place, unnest([length(l), length(l) - 1]) AS m FROM firsts)
+  UNION ALL
+  SELECT l, place, m, 'tail', right(l, m - m // 2)
+  FROM (SELECT l, place, unnest([length(l), length(l) - 1]) AS m FROM firsts)),
+near AS (
+  SELECT a.l, min(b.place) AS place FROM halves a JOIN halves b
+    ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.place < a.place AND levenshtein(a.l, b.l) = 1
+  GROUP BY a.l),
+best AS (
+  SELECT f.l, coalesce(n.place, f.place) AS place FROM firsts f LEFT JOIN near n ON n.l = f.l),
+judged AS (
+  SELECT s.doc_id, s.i, s.l, coalesce(b.place <> {d: s.doc_id, i: s.i}, false) AS gone
+  FROM split s LEFT JOIN best b ON b.l = s.l),
+merged AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed,
+    coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE m.text END AS text
+FROM documents d LEFT JOIN merged m ON m.doc_id = d.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": _LINES,
     "op4_mix_sources": _MIX,
     "op7_quality_rules": _QUALITY,
 }

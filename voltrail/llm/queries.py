@@ -4,12 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import html, jaccard, language, language_model, mixing, neighbours, pieces, quality
+from voltrail.llm import html, jaccard, language, language_model, lines, mixing, neighbours, pieces, quality
 from voltrail.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_neighbours": op3_neighbours,
     "op4_mix_sources": op4_mix_sources,
