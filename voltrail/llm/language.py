@@ -173,9 +173,7 @@ _FOUND = "lang_pred string, score double, languages array<string>, shares array<
 _TOGETHER = 250
 
 
-def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of every row, with the chosen set and its shares."""
-
+def _inferred(model: Languages, text_col: str):
     @F.pandas_udf(_FOUND)
     def infer(text: pd.Series) -> pd.DataFrame:
         texts = text.fillna("").tolist()
@@ -184,15 +182,28 @@ def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col:
             [row for part in parts for row in part], columns=["lang_pred", "score", "languages", "shares"]
         )
 
+    return infer(text_col)
+
+
+def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The language of every row, with the chosen set and its shares."""
     bounded_batches(docs)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         held_out(id_col).alias("held_out"),
-        infer(text_col).alias("_found"),
+        _inferred(model, text_col).alias("_found"),
     )
     return rows.select("doc_id", "held_out", "_found.*")
 
 
+def identified(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
+    """All input columns with ``lang_pred`` and ``score``."""
+    bounded_batches(docs)
+    kept = [c for c in docs.columns if c.lower() not in {"lang_pred", "score"}]
+    found = docs.select(*kept, _inferred(model, text_col).alias("_found"))
+    return found.select(*kept, "_found.lang_pred", "_found.score")
+
+
 def held_out(id_col: str = "doc_id"):
     """True for documents that the model does not learn from."""
     return F.coalesce(id_remainder(F.col(id_col), 4) == 2, F.lit(False))

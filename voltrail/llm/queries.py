@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import html, jaccard, language, language_model, lines, mixing, neighbours, pieces, quality
+from voltrail.llm import html, jaccard, language, language_model, lines, mixing, neighbours, pieces, quality, secrets
 from voltrail.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_all(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -56,4 +60,5 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_main_text": op8_main_text,
     "op9_language_model": op9_language_model,
+    "op10_secret_scan": op10_secret_scan,
 }
