@@ -223,7 +223,10 @@ CTE["charge_inside"] = charge_sql(INSIDE)
 
 # --- sources and sinks -----------------------------------------------------
 
-add("src1", f"SELECT timestamp, {MEASURES} FROM bronze")
+add("src1", f"SELECT vehicle_id, timestamp, {MEASURES} FROM bronze")
+add("src3", "SELECT * FROM bronze")
+add("snk3", "SELECT vehicle_id, timestamp, power_kw FROM silver")
+add("snk9", "SELECT event_id, event_id % 3 <> 0 AS is_safe FROM events")
 add("src2", f"SELECT vehicle_id, timestamp, {MEASURES} FROM bronze")
 add(
     "src4",
@@ -846,31 +849,22 @@ UNION ALL SELECT 'charging_sessions', count(*) FROM charge_session""",
 
 # --- streams ---------------------------------------------------------------
 
-add("str1", f"SELECT timestamp, {MEASURES} FROM bronze")
+add("str1", f"SELECT vehicle_id, timestamp, {MEASURES} FROM bronze")
 add("str2", f"SELECT {_RAW} FROM latest")
 add(
     "str2_first",
     "SELECT DISTINCT vehicle_id, timestamp, speed_kmh FROM bronze WHERE timestamp IS NOT NULL",
 )
-# A stream closes a slot when the watermark, here the newest event time that
-# reached the aggregate, passes its end; the open slot is not part of a result.
-CTE["first_copy"] = f"""
-SELECT {SILVER} FROM one_copy WHERE timestamp IS NOT NULL AND {VALID}"""
-for _key, _flag, _cte, _sql in (
-    ("str3", "is_moving", "drive", trip_sql("drive")),
-    ("str3_charging", "is_charging", "charge", charge_sql()),
-):
-    _closed = f"""(SELECT * FROM first_copy WHERE {_flag} QUALIFY
-  floor(epoch(timestamp) / 300) * 300 + 300 <= max(epoch(timestamp)) OVER ())"""
-    CTE[f"{_cte}_stream"] = steps(_closed, "true")
-    add(_key, re.sub(rf"FROM {_cte}\b", f"FROM {_cte}_stream", _sql))
+# What a closed stream gives is what the batch gives.
+add("str3", trip_sql("drive"))
+add("str3_charging", charge_sql())
 add(
     "str4",
     "SELECT id, timestamp, speed_kmh, false AS synced FROM store WHERE NOT synced",
 )
-add("str5", "SELECT * FROM state")
 add(
-    "str6",
-    f"""SELECT {_SAMPLE} FROM sample
-WHERE epoch(moment) + 30 <= (SELECT max(epoch(timestamp)) FROM sig)""",
+    "str4_marks",
+    "SELECT cast(0 AS bigint) AS pending, cast(count(*) AS bigint) AS total_synced FROM store",
 )
+add("str5", "SELECT * FROM state")
+add("str6", f"SELECT {_SAMPLE} FROM sample")

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import fixture
 from voltrail import schemas
 from voltrail.operators import charging as chg
 from voltrail.operators import checks as ver
@@ -19,7 +20,7 @@ from voltrail.operators import sessions as ses
 from voltrail.operators import store as sto
 from voltrail.operators import telemetry as sil
 from voltrail.operators import trips as trp
-from voltrail.plans import fixture
+from voltrail.plans import pipeline
 from voltrail.session import scratch
 from voltrail.sources import exports, files, tables
 from voltrail.streaming import ingest
@@ -72,13 +73,25 @@ class Tables:
     def silver(self):
         return sil.silver(self.bronze)
 
+    @property
+    def stored(self) -> pipeline.Stored:
+        """Silver and sessions, stored once per session and scale folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORED:
+            _STORED[key] = pipeline.build(self.bronze, self.folder("lake"))
+        return _STORED[key]
+
+    @property
+    def stored_silver(self):
+        return self.stored.silver
+
     @property
     def trips(self):
-        return trp.trip_ratios(trp.trips(self.silver))
+        return self.stored.trips
 
     @property
     def charges(self):
-        return chg.charging_sessions(self.silver)
+        return self.stored.charges
 
     @property
     def daily(self):
@@ -94,11 +107,11 @@ class Tables:
 
     @property
     def health(self):
-        return gld.battery_health_daily(self.silver)
+        return gld.battery_health_daily(self.stored_silver)
 
     @property
     def kpis(self):
-        return gld.lifetime_kpis(self.trips, self.charges, self.silver).drop("last_updated")
+        return gld.lifetime_kpis(self.trips, self.charges, self.stored_silver).drop("last_updated")
 
     @property
     def state(self):
@@ -108,6 +121,7 @@ class Tables:
         return scratch(self.spark, purpose)
 
 
+_STORED: dict[tuple[str, str], pipeline.Stored] = {}
 REGISTRY: dict[str, Query] = {}
 
 
@@ -135,7 +149,7 @@ def _csv_ingest(t: Tables) -> DataFrame:
     ingest.drain(
         ingest.append_stream(files.csv_stream(t.spark, landing), out, t.folder("checkpoint"))
     )
-    return t.spark.read.parquet(out).select("timestamp", *schemas.MEASURE_NAMES)
+    return t.spark.read.parquet(out).select("vehicle_id", "timestamp", *schemas.MEASURE_NAMES)
 
 
 @query("src2")
@@ -151,6 +165,14 @@ def _json_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("vehicle_id", "timestamp", *schemas.MEASURE_NAMES)
 
 
+@query("src3")
+def _declared(t: Tables) -> DataFrame:
+    """Rows read back under the declared schema, nothing inferred."""
+    path = t.folder("raw")
+    t.bronze.write.json(path)
+    return t.spark.read.schema(schemas.BRONZE).json(path)
+
+
 @query("src4")
 def _parse_time(t: Tables) -> DataFrame:
     text = F.when(F.col("event_id") % 7 == 6, "not a time").otherwise(
@@ -208,6 +230,21 @@ def _merge_schema(t: Tables) -> DataFrame:
     )
 
 
+@query("snk3")
+def _layout(t: Tables) -> DataFrame:
+    places = tables.init_layout(t.spark, t.folder("layout"))
+    t.silver.write.parquet(f"{places['silver']}/vehicle_telemetry")
+    return t.spark.read.parquet(f"{places['silver']}/vehicle_telemetry").select(
+        "vehicle_id", "timestamp", "power_kw"
+    )
+
+
+@query("snk9")
+def _names(t: Tables) -> DataFrame:
+    name = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ";drop").otherwise("_2024.x-1"))
+    return t.events.select("event_id", tables.is_safe_name(name).alias("is_safe"))
+
+
 @query("snk4")
 def _bronze_table(t: Tables) -> DataFrame:
     root = t.folder("lake")
@@ -259,7 +296,7 @@ add("snk8", lambda t: tables.partial_rows(t.bronze))
 def _csv_export(t: Tables) -> DataFrame:
     path = f"{t.folder('out')}/vehicle_data_20240101T000000Z.csv"
     exports.export_csv(t.bronze, path, 100)
-    lines = t.spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
+    lines = t.spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
     return (
         lines.groupBy("file")
         .agg(
@@ -522,13 +559,13 @@ add("trp_integrate", lambda t: ses.integrate(
 GOLD: dict[str, Callable[[Tables, tuple], DataFrame]] = {
     "gld1": lambda t, k: gld.trip_totals(t.trips, k),
     "gld2": lambda t, k: gld.charge_totals(t.charges, k),
-    "gld3": lambda t, k: gld.battery_ends(t.silver, k),
-    "gld4": lambda t, k: gld.lifetime_kpis(t.trips, t.charges, t.silver, k).drop("last_updated"),
+    "gld3": lambda t, k: gld.battery_ends(t.stored_silver, k),
+    "gld4": lambda t, k: gld.lifetime_kpis(t.trips, t.charges, t.stored_silver, k).drop("last_updated"),
     "gld5": lambda t, k: gld.daily_summary(t.trips, k),
     "gld6": lambda t, k: gld.weekly_summary(gld.daily_summary(t.trips, k), k),
     "gld7": lambda t, k: gld.monthly_summary(gld.daily_summary(t.trips, k), k),
     "gld8": lambda t, k: gld.hourly_patterns(t.trips, k),
-    "gld9": lambda t, k: gld.battery_health_daily(t.silver, k),
+    "gld9": lambda t, k: gld.battery_health_daily(t.stored_silver, k),
     "gld10": lambda t, k: gld.efficiency_by_temperature(t.trips, k),
     "gld11": lambda t, k: gld.efficiency_by_speed(t.trips, k),
 }
@@ -551,12 +588,12 @@ add("dsh10", lambda t: dsh.efficiency_scatter(t.daily))
 add("dsh11", lambda t: dsh.capacity_trend(t.health))
 add("dsh12", lambda t: dsh.battery_temperature_trend(t.health))
 add("dsh13", lambda t: dsh.driving_hours(gld.hourly_patterns(t.trips)))
-add("dsh14", lambda t: dsh.weekday_distribution(t.silver))
+add("dsh14", lambda t: dsh.weekday_distribution(t.stored_silver))
 add("dsh15", lambda t: dsh.trip_list(t.trips, KEY))
 add("dsh16", lambda t: dsh.charge_list(t.charges, KEY))
 add("dsh17", lambda t: dsh.charge_rate_by_soc(t.charges))
-add("dsh18", lambda t: dsh.last_day(t.silver, AS_OF, keys=KEY))
-add("dsh19", lambda t: dsh.soc_week(t.silver, AS_OF, keys=KEY))
+add("dsh18", lambda t: dsh.last_day(t.stored_silver, AS_OF, keys=KEY))
+add("dsh19", lambda t: dsh.soc_week(t.stored_silver, AS_OF, keys=KEY))
 add("dsh20", lambda t: dsh.electricity_cost(t.monthly))
 
 # --- verification ----------------------------------------------------------
@@ -566,7 +603,7 @@ add("ver2", lambda t: ver.newest_rows(t.bronze))
 add(
     "ver3",
     lambda t: ver.table_counts(
-        vehicle_telemetry=t.silver, trips=t.trips, charging_sessions=t.charges
+        vehicle_telemetry=t.stored_silver, trips=t.trips, charging_sessions=t.charges
     ),
 )
 
@@ -585,7 +622,7 @@ def _both_sources(t: Tables) -> DataFrame:
     }.items():
         outs[name] = t.folder(name)
         ingest.drain(ingest.append_stream(rows, outs[name], t.folder("checkpoint")))
-    return ingest.bronze(t.spark, *outs.values()).select("timestamp", *schemas.MEASURE_NAMES)
+    return ingest.bronze(t.spark, *outs.values()).select("vehicle_id", "timestamp", *schemas.MEASURE_NAMES)
 
 
 @query("str2")
@@ -594,7 +631,7 @@ def _latest_on_arrival(t: Tables) -> DataFrame:
     ingest.drain(
         ingest.latest_on_arrival(fixture.bronze(t.event_stream), root, t.folder("checkpoint"))
     )
-    return ingest.current_versions(t.spark, root).select(*RAW_COLUMNS)
+    return ingest.latest(t.spark, root).select(*RAW_COLUMNS)
 
 
 @query("str2_first")
@@ -607,16 +644,51 @@ def _first_on_arrival(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("vehicle_id", "timestamp", "speed_kmh")
 
 
+#: How far behind the newest event a row may arrive.
+LATENESS = "7 days"
+
+
+def _late_events(t: Tables) -> DataFrame:
+    """The events in two files out of order, one batch each: four drives are
+    held back while the four after them have come in already."""
+    landing, events = t.folder("late"), t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(F.expr("max(event_id) div 400 * 200").alias("m")).first()["m"] or 0
+    held = F.col("event_id").between(middle - 800, middle - 1)
+    early = (F.col("event_id") < middle + 800) & ~held
+    events.filter(early).coalesce(1).write.parquet(f"{landing}/a")
+    events.filter(~early).coalesce(1).write.parquet(f"{landing}/b")
+    return (
+        t.spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", 1)
+        .option("latestFirst", False)
+        .parquet(f"{landing}/*")
+    )
+
+
+def _closing(t: Tables, events: DataFrame) -> DataFrame:
+    """One event a month after the newest, which closes everything before."""
+    folder = t.folder("closing")
+    newest = t.events.agg(F.max("event_id").alias("event_id"))
+    row = newest.select(
+        F.expr("(event_id div 200 + 60) * 200").alias("event_id"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "event_id"],
+    )
+    row.write.parquet(folder)
+    return t.spark.readStream.schema(row.schema).parquet(folder)
+
+
 def _stream_silver(t: Tables) -> DataFrame:
-    """Silver columns of arriving rows; each instant is streamed once."""
-    rows = fixture.bronze(t.event_stream).filter(F.col("id").startswith("s-"))
-    return sil.enrich(sil.validate(sil.timed(rows)))
+    """Silver rows of a stream: late rows, corrected copies and all."""
+    events = _late_events(t)
+    rows = fixture.bronze(events.unionByName(_closing(t, events)))
+    latest = ingest.latest_when_closed(sil.timed(rows), LATENESS)
+    return sil.enrich(sil.validate(latest))
 
 
 @query("str3")
 def _stream_trips(t: Tables) -> DataFrame:
     out = t.folder("slots")
-    slots = stream_ses.stream_trip_slots(_stream_silver(t), "0 seconds")
+    slots = stream_ses.stream_trip_slots(_stream_silver(t), None)
     ingest.drain(ingest.append_stream(slots, out, t.folder("checkpoint")))
     return trp.trips_from_slots(t.spark.read.parquet(out))
 
@@ -624,7 +696,7 @@ def _stream_trips(t: Tables) -> DataFrame:
 @query("str3_charging")
 def _stream_charges(t: Tables) -> DataFrame:
     out = t.folder("slots")
-    slots = stream_ses.stream_charge_slots(_stream_silver(t), "0 seconds")
+    slots = stream_ses.stream_charge_slots(_stream_silver(t), None)
     ingest.drain(ingest.append_stream(slots, out, t.folder("checkpoint")))
     return chg.charges_from_slots(t.spark.read.parquet(out))
 
@@ -634,14 +706,25 @@ def _sync_loop(t: Tables) -> DataFrame:
     directory = t.folder("upload")
     rows = fixture.store(fixture.bronze(t.event_stream))
     ingest.drain(stream_sync.sync_stream(rows, directory, t.folder("checkpoint"), "json"))
+    key = schemas.JSON_KEYS
     return t.spark.read.schema(
-        "id string, timestamp string, speedKmh int, syncedToDatabricks boolean"
+        f"id string, timestamp string, {key['speed_kmh']} int, {key['synced']} boolean"
     ).json(f"{directory}/vehicle_data_*.json").select(
         "id",
         files.parse_time(F.col("timestamp")).alias("timestamp"),
-        F.col("speedKmh").alias("speed_kmh"),
-        F.col("syncedToDatabricks").alias("synced"),
+        F.col(key["speed_kmh"]).alias("speed_kmh"),
+        F.col(key["synced"]).alias("synced"),
+    )
+
+
+@query("str4_marks")
+def _sync_marks(t: Tables) -> DataFrame:
+    directory, marks = t.folder("upload"), t.folder("marks")
+    rows = fixture.store(fixture.bronze(t.event_stream))
+    ingest.drain(
+        stream_sync.sync_stream(rows, directory, t.folder("checkpoint"), "json", marks=marks)
     )
+    return sto.sync_status(stream_sync.with_marks(t.store, marks))
 
 
 @query("str5")
@@ -649,13 +732,21 @@ def _live_state(t: Tables) -> DataFrame:
     out = t.folder("state")
     signals = dec.decode_frames(fixture.frames(t.event_stream).drop("event_id"))
     ingest.drain(stream_state.live_state_stream(signals, out, t.folder("checkpoint")))
+    stream_state.compact_state(t.spark, out)
     return stream_state.live_state(t.spark, out)
 
 
 @query("str6")
 def _stream_samples(t: Tables) -> DataFrame:
     out = t.folder("samples")
-    signals = dec.decode_frames(fixture.frames(t.event_stream).drop("event_id"))
-    samples = stream_state.assemble_stream(signals, "0 seconds", "30 seconds")
+    events = t.event_stream
+    closing = fixture.frames(_closing(t, events)).select(
+        "vehicle_id",
+        F.timestamp_seconds(F.unix_timestamp("timestamp") + 86400 * 30).alias("timestamp"),
+        F.lit("?").alias("signal"),
+        F.lit(None).cast("double").alias("value"),
+    )
+    signals = dec.decode_frames(fixture.frames(events).drop("event_id")).unionByName(closing)
+    samples = stream_state.assemble_stream(signals, "1 hour", "30 seconds")
     ingest.drain(ingest.append_stream(samples, out, t.folder("checkpoint")))
     return t.spark.read.parquet(out)

@@ -34,21 +34,22 @@ def ratio(num: Column, den: Column) -> Column:
 def ticks(value: Column, places: int) -> Column:
     """A decimal measure as a whole number of its last decimal place.
 
-    The result is an integer held in a double.  Sums of such values are exact
-    up to 2**53, so they do not depend on the order in which tasks deliver
-    partial sums; larger values degrade to an ordinary double sum.
+    The result is a decimal with room for sums over any number of rows: they
+    are exact, so they do not depend on the order in which tasks deliver
+    partial sums.  A value that is no finite number counts as unknown.
     """
-    return F.rint(value * 10.0**places)
+    return F.rint(value * 10.0**places).try_cast("decimal(27,0)")
 
 
 def fixed_sum(value: Column, places: int) -> Column:
     """Order-independent sum of a measure with ``places`` decimals."""
-    return F.sum(ticks(value, places)) / 10.0**places
+    return F.sum(ticks(value, places)).cast("double") / 10.0**places
 
 
 def fixed_avg(value: Column, places: int) -> Column:
     """Order-independent mean of a measure with ``places`` decimals."""
-    return F.avg(ticks(value, places)) / 10.0**places
+    whole = ticks(value, places)
+    return F.sum(whole).cast("double") / F.nullif(F.count(whole), F.lit(0)) / 10.0**places
 
 
 def bucket(value: Column, edges: list[float]) -> Column:

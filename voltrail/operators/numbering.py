@@ -12,7 +12,7 @@ def number_rows(df: DataFrame, order: list[str], keys=(), name: str = "row_no")
 
     A range-partitioned sort spreads rows evenly, hot keys included; exact
     copies are told apart by their input position so they can be split too.
-    The sorted rows are checkpointed, which pins down both the order and the
+    The call runs a job: the sorted rows are checkpointed, which pins down both the order and the
     position ids.  The numbers then follow from one small table of counts per
     key and partition.
     """

@@ -177,7 +177,8 @@ def relative_distance(
     much smaller table of cells.
     """
     known = readings.filter(F.col(distance).isNotNull())
-    first = known.groupBy(*keys).agg(F.min_by(distance, ts).alias("_zero"))
+    # At equal times the smaller reading counts as the earlier one.
+    first = known.groupBy(*keys).agg(F.min(F.struct(ts, distance))[distance].alias("_zero"))
     if resets is None:
         if not keys:
             based = known.crossJoin(F.broadcast(first))
@@ -195,11 +196,11 @@ def relative_distance(
     )
     second = F.unix_timestamp(at)
     events = events.withColumn("_cell", second - F.pmod(second, F.lit(cell).cast("long")))
-    ordered = carry_last(events, {"_seen": F.col(distance)}, keys, [ts, "_kind"])
+    ordered = carry_last(events, {"_seen": F.col(distance)}, keys, [ts, "_kind", distance])
     zeroed = ordered.withColumn(
         "_reset_zero", F.when(F.col("_kind") == 1, F.coalesce("_seen", F.lit(0.0)))
     )
-    carried = carry_last(zeroed, {"_from_reset": F.col("_reset_zero")}, keys, [ts, "_kind"])
+    carried = carry_last(zeroed, {"_from_reset": F.col("_reset_zero")}, keys, [ts, "_kind", distance])
     rows = carried.filter("_kind = 0")
     based = join_keyed(rows, first, list(keys)) if keys else rows.crossJoin(F.broadcast(first))
     zero = F.coalesce("_from_reset", "_zero")

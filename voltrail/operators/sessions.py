@@ -110,8 +110,8 @@ def closing(name: str, col: str, ts: str = "timestamp") -> Measure:
 
 def mean(name: str, value: Column, digits: int, places: int = RAW_PLACES) -> Measure:
     total = _sum(f"{name}__sum", ticks(value, places))
-    n = _count(f"{name}__n", value)
-    avg = total.again / F.nullif(n.again, F.lit(0)) / 10.0**places
+    n = _count(f"{name}__n", ticks(value, places))
+    avg = total.again.cast("double") / F.nullif(n.again, F.lit(0)) / 10.0**places
     return Measure(name, (total, n), F.round(avg, digits))
 
 
@@ -181,32 +181,30 @@ def slot_facts(df: DataFrame, spec: SessionSpec, keys=VEHICLE, ts="timestamp", g
     """One row per key and slot: time bounds, partial measures, inner energy."""
     base = with_slot(df, ts, gap)
     cell = [*keys, "_slot"]
-    facts = base.groupBy(*cell).agg(*[p.rows.alias(p.name) for p in spec.parts(ts)])
+    parts = spec.parts(ts)
     if not spec.energies:
-        return facts
-    return join_keyed(facts, _inner_energy(base, spec, keys, ts), cell)
-
-
-def _inner_energy(base: DataFrame, spec: SessionSpec, keys, ts: str) -> DataFrame:
-    """Watt-seconds per slot, without the interval that leads into the slot.
-
-    Intervals are counted in whole seconds, so only the first row of a second
-    has a non-zero one.  Reducing to seconds first bounds the ordered window
-    by the slot width and combines a hot second before the shuffle.
-    """
-    cell = [*keys, "_slot"]
-    seconds = base.groupBy(*cell, "_second").agg(
-        *[F.min_by(c, ts).alias(c) for c in spec.inputs]
-    )
+        return base.groupBy(*cell).agg(*[p.rows.alias(p.name) for p in parts])
+    # One pass: rows to whole seconds, seconds to slots.  Intervals are counted
+    # in whole seconds, so only the first row of a second has a non-zero one;
+    # the ordered window is bounded by the slot width, and a hot second is
+    # combined before the shuffle.
+    seconds = base.groupBy(*cell, "_second").agg(*[p.rows.alias(p.name) for p in parts])
     order = Window.partitionBy(*cell).orderBy("_second")
     step = F.col("_second") - F.lag("_second").over(order)
     return (
         seconds.withColumn("_step", step)
         .groupBy(*cell)
-        .agg(*[F.sum(e.ticks * F.col("_step")).alias(f"{e.name}__inner") for e in spec.energies])
+        .agg(
+            *[p.again.alias(p.name) for p in parts],
+            *[_watts(e.ticks, F.col("_step")).alias(f"{e.name}__inner") for e in spec.energies],
+        )
     )
 
 
+def _watts(power: Column, seconds: Column) -> Column:
+    return F.sum((power * seconds).cast("decimal(38,0)"))
+
+
 def number_slots(slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
     """Add each slot's neighbours and its session number, from 1 per key."""
     order = Window.partitionBy(*keys).orderBy("_slot")
@@ -241,7 +239,7 @@ def merge_slots(
         unknown = F.col("_lead_in").isNull() & e.rate.isNotNull()
         if e.idle_is_zero:
             unknown = unknown & (e.rate != 0)
-        steps = steps.withColumn(f"{e.name}__lead", e.ticks * F.col("_lead_in")).withColumn(
+        steps = steps.withColumn(f"{e.name}__lead", (e.ticks * F.col("_lead_in")).cast("decimal(38,0)")).withColumn(
             f"{e.name}__known", F.col(f"{e.name}__rated") - unknown.cast("long")
         )
     start, end = F.min("first_ts"), F.max("last_ts")
@@ -259,8 +257,8 @@ def merge_slots(
 
 def _total(e: Energy, digits: int) -> Column:
     """NULL if no row of the session has both a power and an interval."""
-    inner = F.coalesce(F.sum(f"{e.name}__inner"), F.lit(0.0))
-    lead = F.coalesce(F.sum(f"{e.name}__lead"), F.lit(0.0))
+    inner = F.coalesce(F.sum(f"{e.name}__inner").cast("double"), F.lit(0.0))
+    lead = F.coalesce(F.sum(f"{e.name}__lead").cast("double"), F.lit(0.0))
     kwh = (inner + lead) / (SECONDS_PER_HOUR * 10.0**e.places)
     return F.when(F.sum(f"{e.name}__known") > 0, F.round(kwh, digits))
 
@@ -271,9 +269,9 @@ def _total(e: Energy, digits: int) -> Column:
 def neighbours(df: DataFrame, keys=VEHICLE, ts="timestamp", gap=GAP_SECONDS) -> DataFrame:
     """Every row with ``prev_ts``, ``next_ts``, ``is_start`` and ``session_id``.
 
-    Order inside a slot comes from a per-slot window, order across slots from
-    the numbered slot table.  The join that brings the two together has no
-    ordering of its own, so adaptive execution can split a hot slot.
+    Rows are reduced to instants before anything is put in order: a window over
+    the instants of a slot, then one over the slots.  Rows of one instant are
+    neighbours of each other, in any order, so only they share a task.
     """
     cell = [*keys, "_slot"]
     rows = with_slot(df, ts, gap)
@@ -283,8 +281,18 @@ def neighbours(df: DataFrame, keys=VEHICLE, ts="timestamp", gap=GAP_SECONDS) ->
         gap,
     ).select(*cell, "prev_last_ts", "next_first_ts", "session_id")
     order = Window.partitionBy(*cell).orderBy(ts)
+    instants = (
+        rows.groupBy(*cell, ts)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_prev", F.lag(ts).over(order))
+        .withColumn("_next", F.lead(ts).over(order))
+    )
+    same = Window.partitionBy(*cell, ts).orderBy(F.lit(0))
+    placed = join_keyed(rows.withColumn("_copy", F.row_number().over(same)), instants, [*cell, ts])
     joined = join_keyed(
-        rows.withColumn("_prev", F.lag(ts).over(order)).withColumn("_next", F.lead(ts).over(order)),
+        placed.withColumn("_prev", F.when(F.col("_copy") > 1, F.col(ts)).otherwise(F.col("_prev"))).withColumn(
+            "_next", F.when(F.col("_copy") < F.col("_copies"), F.col(ts)).otherwise(F.col("_next"))
+        ),
         slots,
         cell,
     )

@@ -17,8 +17,13 @@ def _time(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
 
 
+def is_synced() -> Column:
+    """The flag; a row without one is pending."""
+    return F.coalesce(F.col("synced"), F.lit(False))
+
+
 def pending(store: DataFrame) -> DataFrame:
-    return store.filter(~F.col("synced"))
+    return store.filter(~is_synced())
 
 
 def unsynced(store: DataFrame, n: int = SYNC_BATCH) -> DataFrame:
@@ -34,7 +39,7 @@ def mark_synced(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Set the flag on every row whose id is in ``ids``."""
     done = ids.select(F.col(key).alias("_done")).distinct()
     joined = store.join(done, store[key] == F.col("_done"), "left")
-    return joined.withColumn("synced", F.col("synced") | F.col("_done").isNotNull()).drop("_done")
+    return joined.withColumn("synced", is_synced() | F.col("_done").isNotNull()).drop("_done")
 
 
 def recent(store: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
@@ -71,6 +76,6 @@ def sync_batches(store: DataFrame, n: int = SYNC_BATCH, keys=VEHICLE) -> DataFra
 def sync_status(store: DataFrame) -> DataFrame:
     """Rows still pending and rows synced."""
     return store.agg(
-        F.count_if(~F.col("synced")).alias("pending"),
-        F.count_if("synced").alias("total_synced"),
+        F.count_if(~is_synced()).alias("pending"),
+        F.count_if(is_synced()).alias("total_synced"),
     )

@@ -42,13 +42,13 @@ def dedup_latest(
 
     Spark plans ``row_number() = 1`` as a group limit on both sides of the
     shuffle, so each task ships at most one row per instant however many
-    copies it holds.  Equal versions are settled by ``tie_break`` and then by
-    every other column: the winner is the same after a retried task.
+    copies it holds.  Equal versions are settled by ``tie_break``, which ends
+    in the unique id: the winner is the same after a retried task, and no
+    column is read for the order alone.
     """
     group = [*keys, ts] if ts else list(keys)
     first = [c for c in tie_break if c in df.columns]
-    rest = [c for c in df.columns if c not in {*group, version, *first}]
-    order = [F.col(version).desc(), *[F.col(c).asc() for c in first + rest]]
+    order = [F.col(version).desc(), *[F.col(c).asc() for c in first]]
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
@@ -138,7 +138,18 @@ def enrich(df: DataFrame) -> DataFrame:
     )
 
 
+def of_known_vehicle(df: DataFrame, keys=VEHICLE) -> DataFrame:
+    """Rows whose keys are all known; the others are ``of_unknown_vehicle``."""
+    return df.dropna(subset=list(keys)) if keys else df
+
+
+def of_unknown_vehicle(df: DataFrame, keys=VEHICLE) -> DataFrame:
+    """Quarantine: rows that no vehicle can be told for.  They never share a
+    key with each other, so none removes another as a copy."""
+    return df.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False)))
+
+
 def silver(bronze: DataFrame, keys=VEHICLE) -> DataFrame:
     """Cleaned telemetry.  Ranges are checked after the dedup: a late invalid
     copy of a row removes the instant instead of reviving the older copy."""
-    return enrich(validate(dedup_latest(timed(bronze), keys)))
+    return enrich(validate(dedup_latest(timed(of_known_vehicle(bronze, keys)), keys)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrail import schemas
+from voltrail import VEHICLE, schemas
 from voltrail.operators.store import SYNC_BATCH
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -24,22 +24,28 @@ def upload_path(directory: str, fmt: str, at: datetime) -> str:
 
 
 def csv_rows(samples: DataFrame) -> DataFrame:
-    """The 17 file columns; flags as 1/0."""
+    """The 17 file columns, after any vehicle key; flags as 1/0."""
 
     def cell(name: str, dtype: T.DataType) -> Column:
         flag = isinstance(dtype, T.BooleanType)
         return F.col(name).cast("int").alias(name) if flag else F.col(name)
 
+    lead = [c for c in VEHICLE if c in samples.columns]
     return samples.select(
-        iso_time().alias("timestamp"), *[cell(n, t) for n, t, _ in schemas.MEASURES]
+        *lead, iso_time().alias("timestamp"), *[cell(n, t) for n, t, _ in schemas.MEASURES]
     )
 
 
 def export_csv(samples: DataFrame, path: str, batch: int = SYNC_BATCH, ordered: bool = True):
-    """Write files of at most ``batch`` rows, oldest first, each with a header."""
+    """Write files of at most ``batch`` rows, oldest first, each with a header.
+
+    The file form has no vehicle column; a fleet's rows go to one
+    ``vehicle_id=...`` folder per vehicle, which the ingest side reads back.
+    """
     rows = csv_rows(samples)
-    rows = rows.orderBy("timestamp") if ordered else rows
-    rows.write.mode("overwrite").options(
+    lead = [c for c in VEHICLE if c in rows.columns]
+    rows = rows.orderBy(*lead, "timestamp") if ordered else rows
+    rows.write.mode("overwrite").partitionBy(*lead).options(
         header=True, nullValue="", emptyValue="", maxRecordsPerFile=batch
     ).csv(path)
 

@@ -40,6 +40,11 @@ def vehicle_of_path() -> Column:
     return F.nullif(F.regexp_extract(F.col("_metadata.file_path"), _PATH_KEY, 1), F.lit(""))
 
 
+def _uploads(directory: str, glob: str) -> str:
+    """Uploads right below a folder and below its vehicle folders."""
+    return f"{directory}/{{{glob},vehicle_id=*/{glob}}}"
+
+
 def _bronze_columns(df: DataFrame) -> DataFrame:
     return df.select(*schemas.BRONZE.fieldNames())
 
@@ -54,8 +59,8 @@ def csv_stream(
     """CSV uploads as bronze rows.  The schema is fixed, nothing is inferred."""
     raw = (
         spark.readStream.schema(schema)
-        .options(header=True, **options)
-        .csv(f"{directory}/{glob}")
+        .options(header=True, recursiveFileLookup=True, **options)
+        .csv(_uploads(directory, glob))
     )
     return _bronze_columns(
         with_lineage(raw.withColumn("vehicle_id", vehicle_of_path())).withColumns(
@@ -77,8 +82,8 @@ def json_stream(
     """
     raw = (
         spark.readStream.schema(schemas.JSON_FILE)
-        .options(**options)
-        .json(f"{directory}/{glob}")
+        .options(recursiveFileLookup=True, **options)
+        .json(_uploads(directory, glob))
     )
     measures = {
         name: F.coalesce(F.col(name), F.col(schemas.JSON_KEYS[name]))

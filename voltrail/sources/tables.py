@@ -8,7 +8,7 @@ an unused folder.
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,11 @@ def safe_table_name(name: str) -> str:
     return name
 
 
+def is_safe_name(name: Column) -> Column:
+    """``safe_table_name`` as a test on a column of names."""
+    return F.coalesce(name.rlike("^[\\p{L}\\p{N}_.-]+$"), F.lit(False))
+
+
 def quoted(name: str) -> str:
     return ".".join(f"`{part}`" for part in safe_table_name(name).split("."))
 
@@ -91,6 +96,38 @@ def rebuild(
     return spark.table(quoted(table))
 
 
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``, oldest first."""
+    hadoop, system = _folder(spark, path)
+    if not system.exists(hadoop):
+        return []
+    found = [s for s in system.listStatus(hadoop) if s.isDirectory()]
+    return [s.getPath().getName() for s in sorted(found, key=lambda s: s.getModificationTime())]
+
+
+def remove_folders(spark: SparkSession, path: str, names: list[str]) -> None:
+    for name in names:
+        hadoop, system = _folder(spark, f"{path}/{name}")
+        system.delete(hadoop, True)
+
+
+def prune_versions(spark: SparkSession, table: str, folder: str, keep: int = 2) -> list[str]:
+    """Remove all but the ``keep`` newest versions of a rebuilt table.
+
+    The newest is the one its view reads; keep more than one while readers of
+    older ones may still run.
+    """
+    path = f"{folder}/{safe_table_name(table)}"
+    old = [f for f in list_folders(spark, path) if f.startswith("v-")][: -max(keep, 1)]
+    remove_folders(spark, path, old)
+    return old
+
+
 def truncate(spark: SparkSession, table: str, folder: str) -> DataFrame:
     """Replace ``table`` by no rows of the same schema."""
     return rebuild(spark.table(quoted(table)).limit(0), table, folder)

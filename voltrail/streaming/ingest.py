@@ -48,51 +48,33 @@ def first_on_arrival(df: DataFrame, delay: str, keys=VEHICLE, ts: str = "timesta
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
 
 
-def _data(root: str) -> str:
-    return f"{root}/data"
-
-
-def _commits(root: str) -> str:
-    return f"{root}/commits"
-
-
 def latest_on_arrival(
     df: DataFrame, root: str, checkpoint: str, keys=VEHICLE, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Maintain the latest copy per key and instant.
+    """Maintain bronze and the latest copy per key and instant below ``root``.
 
-    Each batch rewrites only the dates it touches, as a new version of those
-    dates, and then commits its number.  Readers see committed versions only,
-    and a replayed batch writes the same version again, so a lost executor or
-    driver neither loses nor doubles rows.
+    Each batch is appended to bronze, under its number, and the dates it
+    touches are rebuilt from bronze by a dynamic partition overwrite.  A
+    replayed batch replaces its own bronze rows and rebuilds the same dates, so
+    a lost executor or driver neither loses nor doubles rows.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = timed(batch).withColumn("_date", F.to_date("timestamp")).persist()
-        try:
-            known = current_versions(spark, root, before=batch_id)
-            if known is not None:
-                touched = rows.select("_date").distinct()
-                old = known.join(touched, "_date", "left_semi")
-                merged = rows.unionByName(old)
-            else:
-                merged = rows
-            (
-                dedup_latest(merged, keys)
-                .withColumn("_version", F.lit(batch_id))
-                .hint("rebalance", "_date")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("_date", "_version")
-                .parquet(_data(root))
-            )
-            # The number as a folder name: a replay overwrites its own entry.
-            spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(
-                f"{_commits(root)}/{batch_id}"
-            )
-        finally:
-            rows.unpersist()
+        timed(batch).withColumn("_date", F.to_date("timestamp")).hint("rebalance", "_date").write.mode(
+            "overwrite"
+        ).partitionBy("_date").parquet(f"{root}/bronze/_batch={batch_id}")
+        arrived = spark.read.parquet(f"{root}/bronze/_batch={batch_id}")
+        # Bounded by the days a batch covers; as literals they prune folders.
+        touched = [r[0] for r in arrived.select("_date").distinct().collect()]
+        if not touched:
+            return
+        known = spark.read.schema(arrived.schema).option("basePath", f"{root}/bronze").parquet(f"{root}/bronze")
+        dedup_latest(known.filter(F.col("_date").isin(touched)), keys).select(*arrived.columns).hint(
+            "rebalance", "_date"
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_date").parquet(
+            f"{root}/latest"
+        )
 
     return (
         df.writeStream.foreachBatch(merge)
@@ -102,23 +84,20 @@ def latest_on_arrival(
     )
 
 
-def current_versions(spark: SparkSession, root: str, before: int | None = None):
-    """Rows of the newest committed version of each date, with ``_date``.
+def latest(spark: SparkSession, root: str) -> DataFrame:
+    """The latest copy per key and instant, with its date as ``_date``."""
+    return spark.read.parquet(f"{root}/latest")
 
-    None if nothing was committed yet (or nothing before batch ``before``).
+
+def latest_when_closed(df: DataFrame, delay: str, keys=VEHICLE, ts: str = "timestamp") -> DataFrame:
+    """The latest copy per key and instant, as a stream.
+
+    A copy that arrives within ``delay`` of the newest event is taken into
+    account; an instant comes out once it is older than that.
     """
-    if before == 0:
-        return None
-    data = spark.read.parquet(_data(root))
-    commits = spark.read.parquet(f"{_commits(root)}/*")
-    if before is not None:
-        commits = commits.filter(F.col("batch") < before)
-    # One row per date and version: bounded by the calendar, not by the data.
-    newest = (
-        data.select("_date", "_version")
-        .distinct()
-        .join(commits, F.col("_version") == F.col("batch"), "left_semi")
-        .groupBy("_date")
-        .agg(F.max("_version").alias("_version"))
+    rest = [c for c in df.columns if c not in {*keys, ts}]
+    version = F.struct("_ingested_at", F.struct("_source_file", "id"))
+    best = F.max_by(F.struct(*rest), version)
+    return (
+        df.withWatermark(ts, delay).groupBy(*keys, ts).agg(best.alias("_row")).select(*keys, ts, "_row.*")
     )
-    return data.join(newest, ["_date", "_version"], "left_semi").drop("_version")

@@ -18,18 +18,19 @@ from voltrail.operators.trips import moving, trip_spec
 def stream_slots(
     df: DataFrame,
     spec: SessionSpec,
-    delay: str,
+    delay: str | None,
     keys=VEHICLE,
     ts: str = "timestamp",
     gap: int = GAP_SECONDS,
 ) -> DataFrame:
     """Slot facts of a stream, each emitted once its slot can no longer change.
 
-    Rows later than ``delay`` are dropped by the watermark.
+    Rows later than ``delay`` are dropped by the watermark; None leaves the
+    watermark that the stream already has.
     """
     parts = spec.parts(ts)
     seconds = (
-        df.withWatermark(ts, delay)
+        (df if delay is None else df.withWatermark(ts, delay))
         .groupBy(*keys, F.window(ts, "1 second").alias("_second"))
         .agg(*[p.rows.alias(p.name) for p in parts])
     )
@@ -56,18 +57,19 @@ def stream_slots(
 
 def _inner(e: Energy) -> Column:
     """Energy inside a slot: a fold over its seconds, at most one per second."""
-    zero = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0.0).alias("sum"))
+    zero = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("decimal(38,0)").alias("sum"))
 
     def step(acc: Column, row: Column) -> Column:
-        added = F.coalesce(row[e.name] * (row["at"] - acc["at"]), F.lit(0.0))
-        return F.struct(row["at"].alias("at"), (acc["sum"] + added).alias("sum"))
+        watts = (row[e.name] * (row["at"] - acc["at"])).cast("decimal(38,0)")
+        total = acc["sum"] + F.coalesce(watts, F.lit(0).cast("decimal(38,0)"))
+        return F.struct(row["at"].alias("at"), total.cast("decimal(38,0)").alias("sum"))
 
     return F.aggregate("_steps", zero, step)["sum"]
 
 
-def stream_trip_slots(silver: DataFrame, delay: str, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
+def stream_trip_slots(silver: DataFrame, delay: str | None, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
     return stream_slots(moving(silver), trip_spec(), delay, keys, gap=gap)
 
 
-def stream_charge_slots(silver: DataFrame, delay: str, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
+def stream_charge_slots(silver: DataFrame, delay: str | None, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
     return stream_slots(charging(silver), charge_spec(), delay, keys, gap=gap)

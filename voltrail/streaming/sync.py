@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from voltrail.operators.store import SYNC_BATCH, pending
+from voltrail.operators.store import SYNC_BATCH, mark_synced, pending
 from voltrail.sources.exports import export_csv, export_json
 from voltrail.streaming.ingest import AVAILABLE_NOW
 
@@ -21,18 +21,22 @@ def sync_stream(
     fmt: str = "csv",
     batch: int = SYNC_BATCH,
     trigger: dict | None = None,
+    marks: str | None = None,
 ) -> StreamingQuery:
     """Write pending samples as upload files of at most ``batch`` rows.
 
     A row counts as synced once the batch that holds it is committed to the
     checkpoint.  The upload is named after the batch number, so a batch that is
-    repeated after a failure replaces its own files.  Pass ``EVERY_SYNC`` as
-    the trigger to keep uploading.
+    repeated after a failure replaces its own files.  Once its files are
+    written, the ids of a batch are noted below ``marks``; ``with_marks`` reads
+    them.  Pass ``EVERY_SYNC`` as the trigger to keep uploading.
     """
     write = _WRITERS[fmt]
 
     def upload(rows: DataFrame, batch_id: int) -> None:
         write(rows, f"{directory}/vehicle_data_{batch_id:012d}.{fmt}", batch)
+        if marks:
+            rows.select("id").write.mode("overwrite").parquet(f"{marks}/{batch_id}")
 
     return (
         pending(samples)
@@ -41,3 +45,8 @@ def sync_stream(
         .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
+
+
+def with_marks(store: DataFrame, marks: str) -> DataFrame:
+    """The store with every uploaded row marked as synced."""
+    return mark_synced(store, store.sparkSession.read.parquet(f"{marks}/*"))
