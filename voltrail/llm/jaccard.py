@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from voltrail.llm.components import roots
 from voltrail.llm.hashing import shingle_sets
+from voltrail.llm.sieve import Sieve
 from voltrail.llm.text import bounded_batches
 from voltrail.session import checkpointed
 
@@ -44,6 +45,11 @@ BANDS, BAND_ROWS = 32, 3
 HASHES = BANDS * BAND_ROWS
 #: MinHash values compared before each look at the posterior.
 STEP = 16
+#: Units up to this size are compared together, so many pairs at once.
+SMALL_UNIT = 64
+PAIRS_TOGETHER = 200_000
+#: Rows of units, and of units with texts, that a task is given at once.
+UNIT_ROWS, TEXT_ROWS = 20_000, 2_000
 #: Classes in a chunk, and shingles in a chunk that is verified.
 CHUNK = 512
 CHUNK_SHINGLES = 2_000_000
@@ -125,10 +131,50 @@ def _least_members(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def _sharing_bands(a: np.ndarray, b: np.ndarray, upto: int) -> np.ndarray:
+def _sharing_bands(a: np.ndarray, b: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """Which pairs of rows share a band before number ``upto``."""
     same = (a == b).reshape(len(a), BANDS, BAND_ROWS).all(axis=2)
-    return same[:, :upto].any(axis=1)
+    return (same & (np.arange(BANDS) < upto[:, None])).any(axis=1)
+
+
+def _spans(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start, and the end."""
+    change = np.zeros(len(columns[0]), dtype=bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.r_[0, np.flatnonzero(change), len(change)] if len(change) else np.zeros(1, dtype=int)
+
+
+def pruned_pairs(values: np.ndarray, starts: np.ndarray, cuts: np.ndarray, looks):
+    """``surviving_pairs`` of many units that lie one behind the other.
+
+    ``starts`` are their bounds; ``cuts`` the size of a unit's first chunk
+    where it has two, else 0.  Small units of one size are compared together.
+    """
+    left, right = [], []
+    sizes = np.diff(starts)
+    for n in np.unique(sizes[(sizes <= SMALL_UNIT) & (cuts == 0)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = starts[:-1][(sizes == n) & (cuts == 0)]
+        step = max(1, PAIRS_TOGETHER // max(len(i), 1))
+        for k in range(0, len(at), step):
+            a = (at[k : k + step, None] + i).ravel()
+            b = (at[k : k + step, None] + j).ravel()
+            found, before = np.zeros(len(a), dtype=np.int64), 0
+            for upto, needed in looks:
+                found = found + (values[a, before:upto] == values[b, before:upto]).sum(axis=1)
+                keep = found >= needed
+                a, b, found, before = a[keep], b[keep], found[keep], upto
+            left.append(a)
+            right.append(b)
+    for k in np.flatnonzero((sizes > SMALL_UNIT) | (cuts > 0)).tolist():
+        unit = values[starts[k] : starts[k + 1]]
+        cut = int(cuts[k])
+        a, b = surviving_pairs(unit[:cut], unit[cut:], looks) if cut else surviving_pairs(unit, None, looks)
+        left.append(a + starts[k])
+        right.append(b + starts[k] + cut)
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 # --- classes ---------------------------------------------------------------
@@ -203,33 +249,54 @@ def _clusters(classes: DataFrame, threshold: float, tolerance: float) -> DataFra
         return signature.map(keys)
 
     met = checkpointed(classes.select("set_id", F.explode(bands("signature")).alias("bucket")))
-    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = met.join(shared, "bucket")
+    shared = checkpointed(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = met.filter(Sieve.of(shared, "bucket").may_hold("bucket")).join(shared, "bucket")
     chunks = F.ceil(F.col("n") / CHUNK)
     units = _in_units(members, "bucket", chunks).join(classes.select("set_id", "signature"), "set_id")
     looks = least_matches(threshold, tolerance)
 
-    def prune(unit: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, band = int(unit["lo"].iloc[0]), int(unit["hi"].iloc[0]), int(unit["bucket"].iloc[0]) >> 48
-        unit = unit.sort_values(["own", "set_id"])
-        names = unit["set_id"].to_numpy()
-        values = np.stack([np.frombuffer(s, dtype="<u2") for s in unit["signature"]])
-        if lo == hi:
-            left, right = surviving_pairs(values, None, looks)
-        else:
-            n = int((unit["own"] == lo).sum())
-            left, right = surviving_pairs(values[:n], values[n:], looks)
-            right = right + n
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "lo", "hi", "own", "set_id"])
+        starts = _spans(*[rows[c].to_numpy() for c in ("bucket", "lo", "hi")])
+        cuts = _cuts(rows, starts)
+        values = np.frombuffer(b"".join(rows["signature"]), dtype="<u2").reshape(-1, HASHES)
+        left, right = pruned_pairs(values, starts, cuts, looks)
         # A pair counts in the first band it shares, so it is looked at once.
-        first = ~_sharing_bands(values[left], values[right], band) if len(left) else np.zeros(0, bool)
-        label = _least_members(len(names), left[first], right[first])
+        band = rows["bucket"].to_numpy() >> 48
+        keep = [
+            ~_sharing_bands(values[left[k : k + PAIRS_TOGETHER]], values[right[k : k + PAIRS_TOGETHER]], band[left[k : k + PAIRS_TOGETHER]])
+            for k in range(0, len(left), PAIRS_TOGETHER)
+        ]
+        first = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+        names, place = np.unique(rows["set_id"].to_numpy(dtype=str), return_inverse=True)
+        label = _least_members(len(names), place[left[first]], place[right[first]])
         linked = label != np.arange(len(names))
         return pd.DataFrame({"u": names[linked], "v": names[label[linked]]})
 
-    found = units.groupBy("bucket", "lo", "hi").applyInPandas(prune, "u string, v string")
+    found = _dealt(units, "bucket", shared, UNIT_ROWS).groupBy("_task").applyInPandas(prune, "u string, v string")
     return roots(found)
 
 
+def _dealt(units: DataFrame, key: str, groups: DataFrame, rows_each: int) -> DataFrame:
+    """Deal units out to tasks of about ``rows_each`` rows.
+
+    A unit holds at most two chunks, so no task holds much more.
+    """
+    copies = F.col("n") * F.ceil(F.col("n") / CHUNK)
+    total = groups.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("rows")).first()["rows"]
+    tasks = max(1, -(-int(total) // rows_each))
+    return units.withColumn("_task", F.pmod(F.xxhash64(key, "lo", "hi"), F.lit(tasks)))
+
+
+def _cuts(rows: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
+    """Per unit the size of its first chunk, 0 where it has only one."""
+    lo, hi, own = (rows[c].to_numpy() for c in ("lo", "hi", "own"))
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    in_first = np.add.reduceat((own == lo).astype(np.int64), starts[:-1])
+    return np.where(lo[starts[:-1]] == hi[starts[:-1]], 0, in_first)
+
+
 # --- verification ----------------------------------------------------------
 
 
@@ -242,8 +309,8 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshol
     members = checkpointed(
         clustered.join(classes.select("set_id", "n_docs", "n_shingles", "member"), "set_id")
     )
-    sizes = members.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")
+    sizes = checkpointed(
+        members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
     )
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("total") / CHUNK_SHINGLES))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -256,29 +323,29 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshol
     # Only one row per clustered class is read on; rows that are repeated
     # altogether would give it twice, so they are made one.
     chosen = (
-        texts.join(wanted, F.col("_m").eqNullSafe(F.col("_w")))
+        texts.filter(Sieve.of(members, "member.text_hash").may_hold("_m.text_hash"))
+        .join(wanted, F.col("_m").eqNullSafe(F.col("_w")))
         .select("set_id", "text")
         .dropDuplicates(["set_id"])
     )
     units = _in_units(members.join(sizes, "cluster"), "cluster", chunks).join(chosen, "set_id")
 
-    def verify(unit: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(unit["lo"].iloc[0]), int(unit["hi"].iloc[0])
-        unit = unit.sort_values(["own", "set_id"])
-        names, n_docs = unit["set_id"].to_numpy(), unit["n_docs"].to_numpy()
-        sets = shingle_sets(unit["text"].tolist(), SHINGLE)
-        n = int((unit["own"] == lo).sum())
-        left, right = linked_pairs(sets, n if lo != hi else None, threshold)
-        links = np.zeros(len(names), dtype=np.int64)
-        np.add.at(links, left, n_docs[right])
-        np.add.at(links, right, n_docs[left])
-        label = _least_members(len(names), left, right)
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cluster", "lo", "hi", "own", "set_id"])
+        starts = _spans(*[rows[c].to_numpy() for c in ("cluster", "lo", "hi")])
+        names, n_docs = rows["set_id"].to_numpy(), rows["n_docs"].to_numpy()
+        texts = rows["text"].tolist()
+        links, label = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
+        for a, b, cut in zip(starts, starts[1:], _cuts(rows, starts), strict=False):
+            left, right = linked_pairs(shingle_sets(texts[a:b], SHINGLE), cut or None, threshold)
+            np.add.at(links, left + a, n_docs[right + a])
+            np.add.at(links, right + a, n_docs[left + a])
+            label[a:b] = a + _least_members(b - a, left, right)
         return pd.DataFrame({"set_id": names, "links": links, "root": names[label]})
 
     keep = ["cluster", "lo", "hi", "own", "set_id", "n_docs", "text"]
-    return units.select(*keep).groupBy("cluster", "lo", "hi").applyInPandas(
-        verify, "set_id string, links long, root string"
-    )
+    dealt = _dealt(units.select(*keep), "cluster", sizes, TEXT_ROWS)
+    return dealt.groupBy("_task").applyInPandas(verify, "set_id string, links long, root string")
 
 
 def linked_pairs(sets: list[np.ndarray], cut: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -360,14 +427,21 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     Rows that are repeated altogether stay one; documents without words stay.
     """
-    found = groups(docs, threshold)
-    keep = (
-        found.filter((F.col("doc_id") == F.col("class_id")) | F.col("class_id").isNull())
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .distinct()
+    found = checkpointed(groups(docs, threshold))
+    number = F.col("class_id")
+    gone = found.filter(number.isNotNull() & ~F.col("doc_id").eqNullSafe(number)).select(
+        F.col("doc_id").alias("__vt_id"), F.col("text_hash").alias("__vt_hash")
     )
-    match = docs["doc_id"].eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")
+    repeated = (
+        found.groupBy("text_hash", "doc_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select(F.col("doc_id").alias("__vt_id"), F.col("text_hash").alias("__vt_hash"))
     )
-    kept = docs.join(keep, match, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    # Only documents that may go or be repeated move; the others stay in place.
+    touched = Sieve.of(checkpointed(gone.unionByName(repeated)), "__vt_hash")
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    marked = docs.withColumn("__vt_may", touched.may_hold(text_hash))
+    match = F.col("doc_id").eqNullSafe(F.col("__vt_id")) & (text_hash == F.col("__vt_hash"))
+    rest = marked.filter("__vt_may").drop("__vt_may").join(gone.distinct(), match, "left_anti")
+    return marked.filter("not __vt_may").drop("__vt_may").unionByName(rest.dropDuplicates(["doc_id", "text"]))
