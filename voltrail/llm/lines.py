@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltrail.llm.sieve import Sieve
 from voltrail.llm.text import bounded_batches, whole
 from voltrail.session import checkpointed
 
@@ -122,15 +123,20 @@ def _neighbours(lines: DataFrame, rows: DataFrame) -> DataFrame:
     neighbour that comes before the line."""
     halves = [f"k{i}" for i in range(4)]
     spread = lines.select(*_LINE, F.posexplode(F.array(*halves)).alias("half", "key"))
-    counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = (
-        spread.join(counted, "key")
+    counted = checkpointed(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    shared = checkpointed(
+        spread.filter(Sieve.of(counted, "key").may_hold("key"))
+        .join(counted, "key")
         .groupBy(*_LINE)
         .agg(*[F.max(F.col("half") == i).alias(f"s{i}") for i in range(4)])
     )
     # The texts of these few lines: one instance of each, told by its place.
-    first = lines.join(shared, list(_LINE)).select(*_LINE, "first", *[f"s{i}" for i in range(4)])
-    texts = rows.select("place", F.col("line"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    first = checkpointed(
+        lines.filter(Sieve.of(shared, *_LINE).may_hold(*_LINE)).join(shared, list(_LINE)).select(*_LINE, "first", *[f"s{i}" for i in range(4)])
+    )
+    texts = rows.select("place", "line", F.col("a").alias("_a"), F.col("b").alias("_b")).filter(
+        Sieve.of(first, "first").may_hold("place")
+    )
     few = checkpointed(
         texts.join(first, (F.col("place") == F.col("first")) & (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")))
         .select(*_LINE, "first", "line", *[f"s{i}" for i in range(4)])
@@ -146,13 +152,14 @@ def _neighbours(lines: DataFrame, rows: DataFrame) -> DataFrame:
     keyed = few.select(
         *_LINE, "first", F.explode(variants("line", "s0", "s1", "s2", "s3")).alias("v")
     ).select(*_LINE, "first", "v.*")
-    # Dealt by key once; the minimum and the join back both read this.
-    dealt = keyed.repartition("key")
+    # Keys of one line only, nearly all, are counted and then let go.
+    several = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    dealt = checkpointed(keyed.filter(Sieve.of(several, "key").may_hold("key")))
     own = F.when(F.col("self"), F.col("first"))
     other = F.when(~F.col("self"), F.col("first"))
     least = dealt.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(own).alias("whole"), F.min(other).alias("less"), F.max("self").alias("any")
-    ).filter("n > 1")
+        F.min(own).alias("whole"), F.min(other).alias("less"), F.max("self").alias("any")
+    )
     # A key with a whole line holds that line and lines with one sign more;
     # a marked key holds lines that differ in the marked sign.
     near = F.when(F.col("self"), F.col("less")).when(F.col("any"), F.col("whole")).otherwise(F.col("less"))
@@ -184,33 +191,42 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)],
         )
     )
-    near = _neighbours(lines, rows)
-    earliest = (
+    near = checkpointed(_neighbours(lines, rows))
+    wanted = (F.col("n") > 1) | Sieve.of(near, *_LINE).may_hold(*_LINE)
+    earliest = checkpointed(
         lines.select(*_LINE, "first", "n")
+        .filter(wanted)
         .join(near, list(_LINE), "left")
         .filter("n > 1 or near is not null")
         .select(*_LINE, F.coalesce("near", "first").alias("earliest"))
     )
-    gone = instances.join(earliest, list(_LINE)).filter("place != earliest")
+    gone = instances.filter(Sieve.of(earliest, *_LINE).may_hold(*_LINE)).join(earliest, list(_LINE)).filter("place != earliest")
     return gone.groupBy("_doc", "_hash").agg(F.collect_set("line_no").alias("removed"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All input columns with the text's repeated lines taken out, and
     ``n_lines`` and ``n_removed``."""
-    removed = repeated_lines(docs, id_col, text_col)
+    removed = checkpointed(repeated_lines(docs, id_col, text_col))
     kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed"}]
     order, text_hash = _row_key(id_col, text_col)
-    r = removed.select(F.col("_doc").alias("_d"), F.col("_hash").alias("_h"), F.col("removed").alias("_gone"))
-    joined = docs.select(*kept).join(r, (order == F.col("_d")) & (text_hash == F.col("_h")), "left")
+    r = removed.select(F.col("_doc").alias("__vt_doc"), F.col("_hash").alias("__vt_hash"), F.col("removed").alias("__vt_gone"))
+    # Documents that lose nothing stay where they are; only the others move.
+    tested = docs.select(*kept, Sieve.of(removed, "_hash").may_hold(text_hash).alias("__vt_may"))
+    joined = (
+        tested.filter("__vt_may")
+        .join(r, (order == F.col("__vt_doc")) & (text_hash == F.col("__vt_hash")), "left")
+        .select(*kept, "__vt_gone")
+        .unionByName(tested.filter("not __vt_may").select(*kept, F.lit(None).cast("array<int>").alias("__vt_gone")))
+    )
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__vt_gone"))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
+    text = F.when(F.col("__vt_gone").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in kept],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("__vt_gone").isNull(), 0).otherwise(F.size("__vt_gone")).cast("long").alias("n_removed"),
     )
 
 
