@@ -144,6 +144,7 @@ class Words:
     keys: list[str]
     counts: list[str]
     total: int
+    block: int  # words in a block of context counts
 
     @property
     def size(self) -> int:
@@ -165,7 +166,7 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
 
 
-def count_words(docs: DataFrame, folder: str, text_col: str = "text") -> Words:
+def count_words(docs: DataFrame, folder: str, text_col: str = "text", word_block: int = WORD_BLOCK) -> Words:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -181,7 +182,7 @@ def count_words(docs: DataFrame, folder: str, text_col: str = "text") -> Words:
         _texts(docs, text_col).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     )
     size = counted.count()
-    blocks = max(1, -(-size // WORD_BLOCK))
+    blocks = max(1, -(-size // word_block))
     # Blocks are ranges of the hash, which is uniform, so they are equally large.
     block = F.least(F.lit(blocks - 1), F.floor((F.col("h") / 2.0**64 + 0.5) * blocks)).cast("int")
 
@@ -211,6 +212,7 @@ def count_words(docs: DataFrame, folder: str, text_col: str = "text") -> Words:
         stored["keys"].tolist(),
         stored["counts"].tolist(),
         int(stored["total"].sum()),
+        word_block,
     )
 
 
@@ -272,8 +274,10 @@ class Pairs:
 _STORED = "range int, first long, keys string, counts string, n1 long, n2 long, n3 long, n4 long"
 
 
-def count_pairs(docs: DataFrame, words: Words, folder: str, text_col: str = "text") -> Pairs:
-    ranges = max(1, -(-words.total // RANGE_TOKENS))
+def count_pairs(
+    docs: DataFrame, words: Words, folder: str, text_col: str = "text", range_tokens: int = RANGE_TOKENS
+) -> Pairs:
+    ranges = max(1, -(-words.total // range_tokens))
     firsts = _range_firsts(words, ranges)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,6 +350,7 @@ class Contexts:
 
 
 def count_contexts(spark, words: Words, pairs: Pairs, folder: str) -> Contexts:
+    word_block = words.block
     files = spark.createDataFrame(list(zip(pairs.keys, pairs.counts, strict=True)), "keys string, counts string")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,10 +365,10 @@ def count_contexts(spark, words: Words, pairs: Pairs, folder: str) -> Contexts:
                     ("after", left, after),
                     ("before", right, before[None]),
                 ):
-                    blocks, at = _runs(numbers // WORD_BLOCK)
+                    blocks, at = _runs(numbers // word_block)
                     for block, a, b in zip(blocks, at, np.r_[at[1:], len(numbers)], strict=True):
                         packed = _pack(
-                            (numbers[a:b] % WORD_BLOCK).astype("<u4"),
+                            (numbers[a:b] % word_block).astype("<u4"),
                             *[v[a:b].astype("<u4") for v in values],
                         )
                         yield pd.DataFrame({"kind": [kind], "block": [int(block)], "packed": [packed]})
@@ -373,7 +378,7 @@ def count_contexts(spark, words: Words, pairs: Pairs, folder: str) -> Contexts:
     def store(part: pd.DataFrame) -> pd.DataFrame:
         block, kind = int(part["block"].iloc[0]), part["kind"].iloc[0]
         columns = 3 if kind == "after" else 1
-        total = np.zeros((min(WORD_BLOCK, size - block * WORD_BLOCK), columns), dtype=np.int64)
+        total = np.zeros((min(word_block, size - block * word_block), columns), dtype=np.int64)
         for packed in part["packed"]:
             number, *values = _unpack(packed, *["<u4"] * (columns + 1))
             total[number] += np.stack(values, axis=1)
@@ -429,20 +434,26 @@ class Model:
     contexts: Contexts
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text") -> "Model":
+    def fit(
+        cls,
+        docs: DataFrame,
+        text_col: str = "text",
+        word_block: int = WORD_BLOCK,
+        range_tokens: int = RANGE_TOKENS,
+    ) -> "Model":
         """Count a corpus; files go to a new folder below the shared one."""
         spark = docs.sparkSession
         folder = scratch(spark, "language-model")
-        words = count_words(docs, folder, text_col)
-        pairs = count_pairs(docs, words, folder, text_col)
+        words = count_words(docs, folder, text_col, word_block)
+        pairs = count_pairs(docs, words, folder, text_col, range_tokens)
         return cls(words, pairs, count_contexts(spark, words, pairs, folder))
 
     def _by_number(self, files: list[str], number: np.ndarray, columns: int) -> np.ndarray:
         out = np.zeros((len(number), columns), dtype=np.int64)
-        block = number // WORD_BLOCK
+        block = number // self.words.block
         for k in np.unique(block[number >= 0]).tolist():
             here = block == k
-            out[here] = _mapped(files[k], "<u4").reshape(-1, columns)[number[here] % WORD_BLOCK]
+            out[here] = _mapped(files[k], "<u4").reshape(-1, columns)[number[here] % self.words.block]
         return out
 
     def scores(self, texts: list[str]) -> pd.DataFrame:

@@ -85,15 +85,15 @@ def with_copies(
     size = word_count(F.col(text_col))
     sizes = docs.select(F.col(source_col).alias("source"), size.alias("size"))
     rates = checkpointed(source_rates(sizes, weights)).select(
-        F.col("source").alias("_source"), "source_size", "target", "rate"
+        F.col("source").alias("__vt_source"), "source_size", "target", F.col("rate").alias("__vt_rate")
     )
     small = rates.count() <= SMALL_SOURCES
     sized = docs.withColumn("size", size).select(*kept, "size")
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(text_col, F.lit(""))))
-    whole = F.floor("rate")
-    again = (draw(key, seed) < F.col("rate") - whole).cast("long")
+    whole = F.floor("__vt_rate")
+    again = (draw(key, seed) < F.col("__vt_rate") - whole).cast("long")
     joined = sized.join(
-        F.broadcast(rates) if small else rates, F.col(source_col).eqNullSafe(F.col("_source")), "left"
+        F.broadcast(rates) if small else rates, F.col(source_col).eqNullSafe(F.col("__vt_source")), "left"
     )
     return joined.select(*kept, "size", "source_size", "target", (whole + again).alias("copies"))
 

@@ -56,7 +56,7 @@ def fit_pivots(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """Unit vectors of at most ``n`` distinct rows, drawn by a hash of the id."""
     drawn = rows.orderBy(F.xxhash64("_id", F.lit("pivot")), "_id").limit(4 * n).collect()
     unique = dict.fromkeys(tuple(r["_v"]) for r in drawn)
-    return _unit(np.array(list(unique)[:n], dtype=float))
+    return _unit(np.array(list(unique)[:n], dtype=float)) if unique else np.zeros((0, 0))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

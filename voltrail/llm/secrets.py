@@ -200,12 +200,12 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> Data
     """Documents with every found secret replaced in the text."""
     strings = (
         findings.filter("is_secret")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set("candidate").alias("_secrets"))
+        .groupBy(F.col("doc_id").alias("__vt_id"))
+        .agg(F.collect_set("candidate").alias("__vt_secrets"))
     )
-    joined = docs.join(strings, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(strings, docs["doc_id"].eqNullSafe(F.col("__vt_id")), "left")
     clean = F.aggregate(
-        F.array_sort(F.coalesce("_secrets", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)),
+        F.array_sort(F.coalesce("__vt_secrets", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)),
         F.col("text"),
         lambda text, s: F.replace(text, s, F.lit(mark)),
     )
