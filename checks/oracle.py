@@ -387,13 +387,11 @@ FROM ({wide(f"vehicle_id, {_30S} AS moment,", "sig", "ALL")}) WHERE {_CORE}""".r
 )
 _SAMPLE = "vehicle_id, moment AS timestamp, " + ", ".join(SIGNALS)
 add("asm1", f"SELECT {_SAMPLE} FROM sample")
+_3S = "make_timestamp(cast(floor(epoch(timestamp) / 3) AS bigint) * 3000000)"
 add(
     "asm2",
-    """SELECT vehicle_id, make_timestamp(cast(floor(epoch(timestamp) / 3) AS bigint) * 3000000) AS timestamp,
-  arg_max(value, timestamp) FILTER (signal = 'current_amps') AS current_amps,
-  arg_max(value, timestamp) FILTER (signal = 'voltage_volts') AS voltage_volts
-FROM sig WHERE signal IN ('current_amps', 'voltage_volts')
-GROUP BY vehicle_id, floor(epoch(timestamp) / 3)""",
+    f"""SELECT vehicle_id, moment AS timestamp, speed_mph, soc, current_amps, voltage_volts
+FROM ({wide(f"vehicle_id, {_3S} AS moment,", "sig", "vehicle_id, moment")}) WHERE {_CORE}""",
 )
 add(
     "asm3",

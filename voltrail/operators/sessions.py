@@ -25,6 +25,7 @@ from voltrail import VEHICLE
 from voltrail.functions.measures import join_keyed, ticks
 
 GAP_SECONDS = 300
+LEAST_UNKEYED_GAP = 60
 SECONDS_PER_HOUR = 3600.0
 
 #: Decimal places kept when averaging raw (unrounded) measures.
@@ -206,7 +207,13 @@ def _watts(power: Column, seconds: Column) -> Column:
 
 
 def number_slots(slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
-    """Add each slot's neighbours and its session number, from 1 per key."""
+    """Add each slot's neighbours and its session number, from 1 per key.
+
+    Without keys all slots are put in order together, which the calendar
+    bounds as long as slots are not too short.
+    """
+    if not keys and gap < LEAST_UNKEYED_GAP:
+        raise ValueError(f"without keys the gap must be {LEAST_UNKEYED_GAP} seconds or more")
     order = Window.partitionBy(*keys).orderBy("_slot")
     first, prev = _whole_second("first_ts"), _whole_second("prev_last_ts")
     return (

@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: The one temporary folder of each local session that names none.
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def build_session(app: str = "voltrail", master: str | None = None, **conf) -> SparkSession:
@@ -35,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    return tempfile.mkdtemp(prefix="voltrail-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="voltrail-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
