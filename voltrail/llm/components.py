@@ -9,8 +9,9 @@ from voltrail.session import checkpointed
 def _least_of(neighbours: DataFrame) -> DataFrame:
     """(u, v, m) where m is the least neighbour of u, or u itself.
 
-    The minimum is combined on each task; the join back is a plain one that
-    adaptive execution splits where u has very many neighbours.
+    The minimum is combined on each task.  The join back brings the edges of a
+    vertex to one task: narrow rows, at most one per member of its group, and
+    after a round or two every member has the edge to its root alone.
     """
     least = neighbours.groupBy("u").agg(F.min("v").alias("m"))
     return neighbours.join(least, "u").withColumn("m", F.least("u", "m"))
