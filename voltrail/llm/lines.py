@@ -50,9 +50,11 @@ def _row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
 def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line that takes part, with its document's key."""
     order, text_hash = _row_key(id_col, text_col)
-    rows = docs.select(
-        order.alias("_doc"), text_hash.alias("_hash"), F.posexplode(F.split(whole(F.col(text_col)), "\n", -1))
+    # Keys are made before the lines are spread, so no line carries its text.
+    keyed = docs.select(
+        order.alias("_doc"), text_hash.alias("_hash"), F.split(whole(F.col(text_col)), "\n", -1).alias("_lines")
     )
+    rows = keyed.select("_doc", "_hash", F.posexplode("_lines"))
     place = F.col("_doc") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
     return rows.filter(F.length("col") >= MIN_CHARS).select(
         "_doc", "_hash", F.col("pos").alias("line_no"), place.cast(_PLACE).alias("place"), F.col("col").alias("line"),
