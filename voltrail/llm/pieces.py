@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from voltrail.llm.text import bounded_batches
 
 #: Units a worker remembers; the cache starts afresh beyond it.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 250_000
 
 # Field numbers and piece types of the model file.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -271,14 +271,14 @@ def default_model() -> str:
 
 
 def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """All input columns and ``ids``, an array of long."""
+    """All input columns and ``ids``, an array of int."""
     path = path or default_model()
     kept = [c for c in docs.columns if c.lower() != "ids"]
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(text: pd.Series) -> pd.Series:
         found = codec(path).encode(text.fillna("").tolist())
-        return pd.Series([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in found])
+        return pd.Series([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in found])
 
     bounded_batches(docs)
     return docs.select(*kept, ids(text_col).alias("ids"))
