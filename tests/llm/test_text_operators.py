@@ -385,6 +385,20 @@ def test_main_text():
     assert html.main_text("<article><p>x<a href='a>b'>y</a> <!-- no") == "xy"
 
 
+def test_main_text_outside_articles_and_short():
+    long = "word and text " * 20
+    body = f"<div><h1>Head</h1><p>{long}</p><p>Short.</p></div><div class='ad'>buy</div>"
+    cards = "<article><h3>Card</h3><p>Read on</p></article>" * 3
+    want = f"Head\n{long.strip()}\nShort."
+    assert html.main_text(body + cards) == html.main_text(cards + "<hr><nav>n</nav>" + body) == want
+    inside = f"<div><p>{long}</p><article><p>Card</p></article><p>End.</p></div>"
+    assert html.main_text(inside) == f"{long.strip()}\nCard\nEnd."
+    assert html.main_text(f"<article>{body}<p>End.</p></article>") == f"{want}\nEnd."
+    short = "<nav>Home</nav><h1>Closed</h1><p>We are closed today.</p><footer>f</footer>"
+    assert html.main_text(short) == "Closed\nWe are closed today."
+    assert html.main_text("<p>Yes</p><nav>n</nav><p>A short body here.</p>") == "A short body here."
+
+
 def test_surge_and_dive():
     lengths = np.array([5, 0, 0, 0, 4, 90, 3, 50, 0, 0, 0, 6, 0])
     kept = html.between_surge_and_dive(lengths, 80)

@@ -5,7 +5,10 @@ declares to be something else - navigation, headers, footers, asides, forms,
 scripts, adverts, notices, comments - become a gap of empty lines.  The text
 lengths of a sliding window of lines then show where text surges and where it
 dives to nothing; the lines between the two points are kept, all of them,
-short ones included.
+short ones included.  The search and its bound are the same for all lines of
+all pages.  An article only gives weight: its short runs stay too, where no
+more text surges outside of articles.  Where nothing surges, the run that comes
+closest is the text.
 
 A page is worked on in its own row, in time proportional to its length;
 nothing is shuffled.
@@ -27,7 +30,7 @@ from voltrail.llm.text import bounded_batches
 
 #: Lines in the sliding window, and the empty lines that part two regions.
 WINDOW = 3
-#: Characters in a window where text surges, on pages that declare no article.
+#: Characters in a window where text surges.
 SURGE = 80
 
 # Element names of the markup language.
@@ -58,6 +61,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+_SOME_TEXT = re.compile(r"\S\s+\S|[.!?…。！？]")
 
 
 def _outside(name: str, attrs: str) -> bool:
@@ -168,13 +172,34 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    declared = any(main and line for line, main in found)
-    # On a page that declares its article all else is a gap, and any text surges.
-    lengths = np.array([len(line) if main or not declared else 0 for line, main in found])
-    kept = between_surge_and_dive(lengths, 1 if declared else SURGE)
+    lengths = np.array([len(line) for line, _ in found])
+    declared = np.array([main for _, main in found]) & (lengths > 0)
+    kept = between_surge_and_dive(lengths, SURGE)
+    # A short run of an article stays where articles hold most of the text.
+    if lengths[declared].sum() >= lengths[kept & ~declared].sum():
+        kept |= between_surge_and_dive(np.where(declared, lengths, 0), 1) & declared
+    if not kept.any():
+        kept = _peak(found, lengths)
     return "\n".join(line for (line, _), n, k in zip(found, lengths, kept, strict=True) if k and n)
 
 
+def _peak(found: list[tuple[str, bool]], lengths: np.ndarray) -> np.ndarray:
+    """The run with the longest window, on a page where no text surges.
+
+    A run of one word without an end mark is no text.
+    """
+    text = between_surge_and_dive(lengths, 1)
+    best, most, at = np.zeros(len(lengths), dtype=bool), 0, 0
+    for end in [*np.flatnonzero(~text), len(lengths)]:
+        run = slice(at, end)
+        at = end + 1
+        height = max((lengths[k : k + WINDOW].sum() for k in range(run.start, run.stop)), default=0)
+        if height > most and _SOME_TEXT.search(" ".join(line for line, _ in found[run])):
+            best[:], most = False, height
+            best[run] = True
+    return best
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
 
