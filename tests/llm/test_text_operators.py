@@ -286,6 +286,21 @@ def test_jaccard_join_in_several_chunks(spark, monkeypatch):
     assert [r["doc_id"] for r in jaccard.one_of_each_group(docs(spark, rows)).collect()] == [0]
 
 
+def test_jaccard_join_of_more_chunks_than_members(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 20)
+    rows = []
+    for i in range(30):  # clusters of two or three long texts, many chunks each
+        w = prose(700 + i, 120).split()
+        for k in range(2 + i % 2):
+            w[40 + k] = f"n{k}"
+            rows.append((3 * i + k, " ".join(w)))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join_counts(docs(spark, rows)).collect()}
+    assert got == brute_groups(rows)
+    starts, cuts = np.array([0, 2, 4]), np.array([0, 2])
+    values = np.zeros((4, jaccard.HASHES), dtype="<u2")
+    assert len(jaccard.pruned_pairs(values, starts, cuts, jaccard.least_matches(0.8))[0]) == 0
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     looks = jaccard.least_matches(0.8)
     assert [n for n, _ in looks] == list(range(16, 97, 16)) and all(m < 0.65 * n for n, m in looks)

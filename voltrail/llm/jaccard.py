@@ -149,13 +149,13 @@ def pruned_pairs(values: np.ndarray, starts: np.ndarray, cuts: np.ndarray, looks
     """``surviving_pairs`` of many units that lie one behind the other.
 
     ``starts`` are their bounds; ``cuts`` the size of a unit's first chunk
-    where it has two, else 0.  Small units of one size are compared together.
+    where it has two, else -1.  Small units of one size are compared together.
     """
     left, right = [], []
     sizes = np.diff(starts)
-    for n in np.unique(sizes[(sizes <= SMALL_UNIT) & (cuts == 0)]).tolist():
+    for n in np.unique(sizes[(sizes <= SMALL_UNIT) & (cuts < 0)]).tolist():
         i, j = np.triu_indices(n, 1)
-        at = starts[:-1][(sizes == n) & (cuts == 0)]
+        at = starts[:-1][(sizes == n) & (cuts < 0)]
         step = max(1, PAIRS_TOGETHER // max(len(i), 1))
         for k in range(0, len(at), step):
             a = (at[k : k + step, None] + i).ravel()
@@ -167,9 +167,11 @@ def pruned_pairs(values: np.ndarray, starts: np.ndarray, cuts: np.ndarray, looks
                 a, b, found, before = a[keep], b[keep], found[keep], upto
             left.append(a)
             right.append(b)
-    for k in np.flatnonzero((sizes > SMALL_UNIT) | (cuts > 0)).tolist():
+    # A unit of two chunks of which one is empty has no pairs.
+    two = (cuts > 0) & (cuts < sizes)
+    for k in np.flatnonzero((sizes > SMALL_UNIT) & (cuts < 0) | two).tolist():
         unit = values[starts[k] : starts[k + 1]]
-        cut = int(cuts[k])
+        cut = max(int(cuts[k]), 0)
         a, b = surviving_pairs(unit[:cut], unit[cut:], looks) if cut else surviving_pairs(unit, None, looks)
         left.append(a + starts[k])
         right.append(b + starts[k] + cut)
@@ -289,12 +291,12 @@ def _dealt(units: DataFrame, key: str, groups: DataFrame, rows_each: int) -> Dat
 
 
 def _cuts(rows: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
-    """Per unit the size of its first chunk, 0 where it has only one."""
+    """Per unit of two chunks the size of the first, -1 where it is one chunk."""
     lo, hi, own = (rows[c].to_numpy() for c in ("lo", "hi", "own"))
     if not len(rows):
         return np.zeros(0, dtype=np.int64)
     in_first = np.add.reduceat((own == lo).astype(np.int64), starts[:-1])
-    return np.where(lo[starts[:-1]] == hi[starts[:-1]], 0, in_first)
+    return np.where(lo[starts[:-1]] == hi[starts[:-1]], -1, in_first)
 
 
 # --- verification ----------------------------------------------------------
@@ -337,7 +339,9 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshol
         texts = rows["text"].tolist()
         links, label = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
         for a, b, cut in zip(starts, starts[1:], _cuts(rows, starts), strict=False):
-            left, right = linked_pairs(shingle_sets(texts[a:b], SHINGLE), cut or None, threshold)
+            if cut in (0, b - a):  # the other chunk is empty
+                continue
+            left, right = linked_pairs(shingle_sets(texts[a:b], SHINGLE), None if cut < 0 else int(cut), threshold)
             np.add.at(links, left + a, n_docs[right + a])
             np.add.at(links, right + a, n_docs[left + a])
             label[a:b] = a + _least_members(b - a, left, right)
