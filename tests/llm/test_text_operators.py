@@ -501,6 +501,23 @@ def test_secret_scan_learns_and_redacts(spark):
     assert clean[0].count("[secret]") == 1 and clean[1] == rows[1][1] and len(clean) == 240
 
 
+def test_secret_candidates_are_whole_values(spark):
+    texts = {
+        1: ('x password = "Tr0ub4dor&3" y', "Tr0ub4dor&3"), 2: ("a passwd: hunter2, b", "hunter2"),
+        3: ("Authorization: Bearer abc.def-123 z", "abc.def-123"), 4: ("api_key=p@ss:w0rd! z", "p@ss:w0rd!"),
+        5: ("secret: 'two words' z", "two words"), 6: ("token = " + "0a" * 20, "0a" * 20),
+    }
+    rows = [(k, t) for k, (t, _) in texts.items()] + [(7, f"id {'0a' * 20} here"), (8, "the bearer of news, author: Smith")]
+    found = secrets.assigned_labels(secrets.candidates(docs(spark, rows))).collect()
+    assert sorted((r["doc_id"], r["candidate"], r["label"]) for r in found) == [
+        *[(k, v, 1.0) for k, (_, v) in texts.items()], (7, "0a" * 20, None),
+    ]
+    frame = docs(spark, rows)
+    secret = secrets.candidates(frame).filter("keyed").withColumn("is_secret", F.lit(True))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame, secret).collect()}
+    assert clean[1] == 'x password = "[secret]" y' and clean[4] == "api_key=[secret] z" and clean[8] == rows[7][1]
+
+
 def test_secret_scan_of_one_label(spark):
     only = secrets.scan(docs(spark, [(1, "number 1234567890123456 here"), (2, None)])).collect()
     assert [(r["doc_id"], r["probability"], r["is_secret"]) for r in only] == [(1, 0.0, False)]

@@ -1,7 +1,8 @@
 """Secret scans with a random forest over candidate features.
 
 Any run of sixteen or more signs that keys and tokens are made of is a
-candidate.  Most are none: numbers, hashes, paths, long words.  A random forest
+candidate, and so is the whole value after a name like a credential's or after
+``Bearer``, whatever its length and signs.  Most are none: numbers, hashes, paths, long words.  A random forest
 on the candidate's length, its character transitions, how much of it the
 corpus's own dictionary covers, path marks and the neighbouring words tells
 them apart; it is trained from labelled findings.
@@ -16,7 +17,8 @@ cover everything.
 
 Where a corpus brings no labels of its own, ``assigned_labels`` labels a
 finding by how it is written: as the value of a key that is named like a
-credential.  The forest does not see that name.
+credential.  What looks like a key but has no such name is judged, not fitted
+on.  The forest does not see that name.
 
 Defined cases: a NULL text has no candidates; a NULL id is kept; repeated rows
 each have their findings; with no findings, or findings of one label only,
@@ -30,12 +32,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.text import id_remainder, whole, words
+from voltrail.llm.text import BLANKS, id_remainder, whole, words
 from voltrail.session import checkpointed
 
 # What candidates are made of, names of credentials.
 CANDIDATE = "[A-Za-z0-9+/=_-]{16,}"
-CREDENTIAL = "(?i)(token|secret|passw(or)?d|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+CREDENTIAL = (
+    "(?i)(token|secret|passw(or)?d|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz]))|bearer|credential|private[_-]?key)"
+)
+# A credential's name before its sign, the sign, and the scheme without one.
+_NAMED = CREDENTIAL + "[A-Za-z0-9_.-]*[\"'`\\])]*"
+_SIGN = "(=>|:=|=|:)"
+_IN_WORD = _NAMED + _SIGN + "(?!//)[\"'`]?[^\\s\"'`]"
+_BEARER = "(?i)(^|[^A-Za-z])bearer$"
 
 FIT_FINDINGS = 20_000
 TREES, DEPTH, SEED = 30, 6, 7
@@ -55,24 +64,67 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     split = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_w"))
     w = F.col("_w")
     every = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def word(i: Column) -> Column:
+        return F.coalesce(F.get(w, i), F.lit(""))
+
+    def follows(i: Column) -> Column:
+        """Does the word at ``i`` follow a credential's name or scheme?"""
+        before, before_2 = word(i - 1), word(i - 2)
+        bearer = before.rlike(_BEARER) & (
+            before.rlike("[=:]") | before_2.rlike("[=:]$") | word(i).rlike(f"[0-9]|{CANDIDATE}")
+        )
+        named = before.rlike(f"{_NAMED}{_SIGN}$") | before.rlike(f"^{_SIGN}$") & before_2.rlike(f"{_NAMED}$")
+        return bearer | named & ~word(i).rlike("(?i)^[\"'`]?(bearer|basic)$")
+
     at = split.select(
-        "doc_id", "_w", F.explode(F.filter(every, lambda i: F.get(w, i).rlike(CANDIDATE))).alias("word_no")
+        "doc_id",
+        "_w",
+        F.explode(
+            F.filter(every, lambda i: word(i).rlike(CANDIDATE) | word(i).rlike(_IN_WORD) | follows(i))
+        ).alias("word_no"),
     )
     n = F.col("word_no")
-
-    def around(k: int) -> Column:
-        return F.coalesce(F.get(w, n + k), F.lit(""))
-
     named = at.select(
         "doc_id",
         "word_no",
-        around(0).alias("word"),
-        around(-1).alias("before"),
-        around(-2).alias("before_2"),
-        around(1).alias("after"),
+        word(n).alias("word"),
+        word(n - 1).alias("before"),
+        word(n - 2).alias("before_2"),
+        word(n + 1).alias("after"),
+        F.when(F.col("_w")[n].rlike(_IN_WORD), F.regexp_replace(word(n), f"^.*?{_NAMED}{_SIGN}(?!//)", ""))
+        .when(follows(n), word(n))
+        .alias("_raw"),
+        "_w",
     )
-    found = F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part_no", "candidate")
-    return named.select("*", found)
+    # A value in quotes goes to the closing one, which may stand in a later word.
+    raw = F.col("_raw")
+    rest = F.array_join(F.concat(F.array(raw), F.slice("_w", n + 2, F.size("_w"))), " ")
+    quoted = F.when(raw.rlike("^([\"'`]).+?\\1"), F.regexp_extract(raw, "^([\"'`])(.+?)\\1", 2)).when(
+        raw.rlike("^[\"'`]"), F.regexp_extract(rest, "^([\"'`])(.+?)\\1", 2)
+    )
+    bare = F.regexp_replace(raw, "^[\"'`(\\[{<]+|[\"'`,;.)\\]}>]+$", "")
+    value = F.when(F.length(quoted) > 0, quoted).otherwise(bare)
+    valued = named.select(*[c for c in named.columns if c not in ("_w", "_raw")], F.nullif(value, F.lit("")).alias("_value"))
+
+    def runs(text: Column, keyed: bool = False) -> Column:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
+            lambda c: F.struct(c.alias("candidate"), F.lit(keyed).alias("keyed")),
+        )
+
+    # The value is one candidate; what stands around it in its word is searched.
+    v = F.col("_value")
+    head = F.call_function("substring_index", v, F.lit(" "), F.lit(1))
+    prefix = F.call_function("substring_index", F.col("word"), head, F.lit(1))
+    suffix = F.substring(F.col("word"), F.length(prefix) + F.length(head) + 1, F.length("word"))
+    parts = F.when(v.isNull(), runs(F.col("word"))).otherwise(
+        F.concat(
+            runs(prefix), F.array(F.struct(v.alias("candidate"), F.lit(True).alias("keyed"))), runs(suffix)
+        )
+    )
+    found = valued.select(*[c for c in valued.columns if c != "_value"], F.posexplode(parts).alias("part_no", "_part"))
+    return found.select(*[c for c in found.columns if c != "_part"], "_part.candidate", "_part.keyed")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = DICTIONARY_DOCS) -> DataFrame:
@@ -89,7 +141,8 @@ def dictionary(docs: DataFrame, text_col: str = "text", least: int = DICTIONARY_
 
 def _prefix() -> Column:
     """What stands before the candidate in its word."""
-    return F.call_function("substring_index", F.col("word"), F.col("candidate"), F.lit(1))
+    head = F.call_function("substring_index", F.col("candidate"), F.lit(" "), F.lit(1))
+    return F.call_function("substring_index", F.col("word"), head, F.lit(1))
 
 
 def _count(text: str, kind: str) -> Column:
@@ -138,17 +191,24 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def assigned_labels(found: DataFrame) -> DataFrame:
-    """Add ``label``: 1 for the value of a key named like a credential."""
+    """Add ``label``: 1 for the value of a key named like a credential, NULL
+    for what looks like a key but is named nowhere, else 0."""
     sign = F.col("before").rlike("^[^A-Za-z0-9]*(=|:=?)$")
     key = F.when(sign, F.col("before_2")).otherwise(
         F.concat_ws(" ", F.col("before"), _prefix())
     )
     stated = sign | F.col("before").rlike("[=:]$") | _prefix().rlike("[=:]")
-    return found.withColumn("label", (stated & key.rlike(CREDENTIAL)).cast("double"))
+    known = F.col("keyed") | stated & key.rlike(CREDENTIAL)
+    like_key = (
+        F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
+        & ~F.col("word").contains("://") & ~F.col("word").rlike("^[\"'`(]*[./~]*/")
+    )
+    return found.withColumn("label", F.when(known, 1.0).when(~like_key, 0.0))
 
 
 def fit(labelled: DataFrame, per_label: int = FIT_FINDINGS):
     """A fitted forest, or the one label there is (0.0 where there is none)."""
+    labelled = labelled.filter("label is not null")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return next(iter(counts), 0.0)
@@ -203,10 +263,17 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> Data
         .groupBy(F.col("doc_id").alias("__vt_id"))
         .agg(F.collect_set("candidate").alias("__vt_secrets"))
     )
+
+    def literal(s: Column) -> Column:
+        """The secret with any blanks between its words, not inside a longer word."""
+        safe = F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        spaced = F.replace(safe, F.lit(" "), F.lit(f"\\E[{BLANKS}]+\\Q"))
+        return F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), spaced, F.lit("\\E(?![A-Za-z0-9])"))
+
     joined = docs.join(strings, docs["doc_id"].eqNullSafe(F.col("__vt_id")), "left")
     clean = F.aggregate(
         F.array_sort(F.coalesce("__vt_secrets", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)),
         F.col("text"),
-        lambda text, s: F.replace(text, s, F.lit(mark)),
+        lambda text, s: F.regexp_replace(text, literal(s), F.lit(mark)),
     )
     return joined.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
