@@ -97,8 +97,54 @@ SELECT d.doc_id, coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_removed, 0) AS
   CASE WHEN d.text IS NULL THEN NULL ELSE m.text END AS text
 FROM documents d LEFT JOIN merged m ON m.doc_id = d.doc_id"""
 
+_FILTER_AUDIT = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels
+  WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    [len(w) < 100, 100 * list_unique(w) < 80 * len(w),
+     100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+     regexp_matches(t, '[#$%&*|]'),
+     coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+one AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+perms AS (
+  SELECT [a.i, b.i, c.i, e.i, g.i] AS o FROM one a, one b, one c, one e, one g
+  WHERE list_unique([a.i, b.i, c.i, e.i, g.i]) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, o, s.i AS step, o[s.i] AS own
+  FROM perms, one s),
+pattern AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS n_good, count_if(toxic) AS n_toxic FROM f GROUP BY part, fails),
+parts AS (SELECT DISTINCT part FROM pattern),
+hit AS (
+  SELECT part, filter_order, step, own, n, n_good, n_toxic, fails[own] AS fails_own,
+    list_bool_or(list_transform(list_slice(o, 1, step - 1), lambda x: fails[x])) AS earlier,
+    len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM pattern, steps),
+cell AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (NOT coalesce(earlier, false) AND NOT fails_own) AS kept,
+    sum(n) FILTER (NOT coalesce(earlier, false) AND fails_own) AS removed,
+    sum(n) FILTER (coalesce(earlier, false) AND fails_own) AS redundant,
+    sum(n) FILTER (fails_own AND n_fails = 1) AS unique_fails,
+    sum(n_good) FILTER (NOT coalesce(earlier, false) AND fails_own) AS good_lost,
+    sum(n_toxic) FILTER (NOT coalesce(earlier, false) AND fails_own) AS toxic_lost
+  FROM hit GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM cell"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op4_mix_sources": _MIX,
     "op7_quality_rules": _QUALITY,
+    "op11_filter_audit": _FILTER_AUDIT,
 }

@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import html, jaccard, language, language_model, lines, mixing, neighbours, pieces, quality, secrets
+from voltrail.llm import (
+    filter_audit, html, jaccard, language, language_model, lines, mixing, neighbours, pieces, quality, secrets,
+)
 from voltrail.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +52,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -61,4 +67,5 @@ QUERIES: dict[str, Query] = {
     "op8_main_text": op8_main_text,
     "op9_language_model": op9_language_model,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
 }
