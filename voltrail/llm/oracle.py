@@ -142,9 +142,44 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS
   CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM cell"""
 
+_PREFIX_TRIE = """
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list({d: digest, s: strlen(text)} ORDER BY turn NULLS FIRST, role, digest) AS a FROM t GROUP BY c),
+crc AS (
+  SELECT c, a, CAST(xor(list_reduce(
+      list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+        lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END),
+    CAST(4294967295 AS BIGINT)) % 9 AS INT) AS h
+  FROM own),
+rebuilt AS (
+  SELECT k.c, list_concat(list_slice(coalesce(b.a, []), 1, h), list_slice(k.a, h + 1, len(k.a))) AS p
+  FROM crc k LEFT JOIN own b ON b.c = k.c - k.c % 5),
+node AS (
+  SELECT list_slice(p, 1, d) AS p, d, min(c) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(p) = d) AS ids
+  FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM rebuilt) GROUP BY list_slice(p, 1, d), d),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY list_slice(p, 1, d - 1)),
+counted AS (
+  SELECT node.*, coalesce(kids.n, 0) AS n_children,
+    CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * node.p[d].s END AS saves
+  FROM node LEFT JOIN kids ON kids.p = node.p),
+below AS (
+  SELECT list_slice(p, 1, i) AS p, count_if(n_children = 0) AS n_leaves, sum(saves) AS saved_tokens
+  FROM (SELECT p, n_children, saves, unnest(range(0, d + 1)) AS i FROM counted) GROUP BY list_slice(p, 1, i))
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+  CAST(n.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM counted n JOIN below b ON b.p = n.p LEFT JOIN node up ON n.d > 0 AND up.p = list_slice(n.p, 1, n.d - 1)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op4_mix_sources": _MIX,
     "op7_quality_rules": _QUALITY,
     "op11_filter_audit": _FILTER_AUDIT,
+    "op13_prefix_trie": _PREFIX_TRIE,
 }
