@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voltrail.llm import (
-    filter_audit, html, jaccard, language, language_model, lines, mixing, neighbours, pieces, prefix_trie, quality,
-    secrets,
+    filter_audit, html, jaccard, language, language_model, lines, mixing, neighbours, pieces, prefix_trie, private_data,
+    quality, secrets,
 )
 from voltrail.llm.text import table
 
@@ -57,6 +57,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -73,5 +77,6 @@ QUERIES: dict[str, Query] = {
     "op9_language_model": op9_language_model,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_private_data": op12_private_data,
     "op13_prefix_trie": op13_prefix_trie,
 }
