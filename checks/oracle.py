@@ -855,6 +855,8 @@ add(
 )
 # What a closed stream gives is what the batch gives.
 add("str3", trip_sql("drive"))
+add("str3_slots", trip_sql("drive"))
+add("str3_inside", "SELECT * FROM trip_inside")
 add("str3_charging", charge_sql())
 add(
     "str4",

@@ -687,18 +687,32 @@ def _stream_silver(t: Tables) -> DataFrame:
 
 @query("str3")
 def _stream_trips(t: Tables) -> DataFrame:
-    out = t.folder("slots")
-    slots = stream_ses.stream_trip_slots(_stream_silver(t), None)
-    ingest.drain(ingest.append_stream(slots, out, t.folder("checkpoint")))
-    return trp.trips_from_slots(t.spark.read.parquet(out))
+    root = t.folder("trips")
+    ingest.drain(stream_ses.trip_stream(_stream_silver(t), None, root, t.folder("checkpoint")))
+    return stream_ses.closed_sessions(t.spark, root)
 
 
 @query("str3_charging")
 def _stream_charges(t: Tables) -> DataFrame:
+    root = t.folder("charges")
+    ingest.drain(stream_ses.charge_stream(_stream_silver(t), None, root, t.folder("checkpoint")))
+    return stream_ses.closed_sessions(t.spark, root)
+
+
+@query("str3_slots")
+def _stream_slots(t: Tables) -> DataFrame:
     out = t.folder("slots")
-    slots = stream_ses.stream_charge_slots(_stream_silver(t), None)
+    slots = stream_ses.stream_trip_slots(_stream_silver(t), None)
     ingest.drain(ingest.append_stream(slots, out, t.folder("checkpoint")))
-    return chg.charges_from_slots(t.spark.read.parquet(out))
+    return trp.trips_from_slots(t.spark.read.parquet(out))
+
+
+@query("str3_inside")
+def _stream_trips_inside(t: Tables) -> DataFrame:
+    root = t.folder("trips")
+    rows = _stream_silver(t)
+    ingest.drain(stream_ses.trip_stream(rows, None, root, t.folder("checkpoint"), carry_gap=False))
+    return stream_ses.closed_sessions(t.spark, root)
 
 
 @query("str4")

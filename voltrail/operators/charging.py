@@ -51,7 +51,11 @@ def charge_slots(silver: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
 def charges_from_slots(
     slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS, carry_gap: bool = True
 ) -> DataFrame:
-    sessions = merge_slots(slots, charge_spec(), keys, gap, carry_gap)
+    return charges_of(merge_slots(slots, charge_spec(), keys, gap, carry_gap), keys)
+
+
+def charges_of(sessions: DataFrame, keys=VEHICLE) -> DataFrame:
+    """Sessions of charging rows under the names of charging sessions."""
     return sessions.withColumnsRenamed(
         {"session_start": "charge_start", "session_end": "charge_end"}
     ).select(*keys, *CHARGE_COLUMNS)

@@ -37,35 +37,39 @@ RAW_PLACES = 9
 
 @dataclass(frozen=True)
 class Part:
-    """A partial aggregate: over rows, and over earlier results of itself."""
+    """A partial aggregate: over rows, and over earlier results of itself.
+
+    ``kind`` says how two results merge: min, max, sum, first or last.
+    """
 
     name: str
+    kind: str
     rows: Column
     again: Column
 
 
 def _least(name: str, value) -> Part:
-    return Part(name, F.min(value), F.min(name))
+    return Part(name, "min", F.min(value), F.min(name))
 
 
 def _most(name: str, value) -> Part:
-    return Part(name, F.max(value), F.max(name))
+    return Part(name, "max", F.max(value), F.max(name))
 
 
 def _sum(name: str, value) -> Part:
-    return Part(name, F.sum(value), F.sum(name))
+    return Part(name, "sum", F.sum(value), F.sum(name))
 
 
 def _count(name: str, value) -> Part:
-    return Part(name, F.count(value), F.sum(name))
+    return Part(name, "sum", F.count(value), F.sum(name))
 
 
 def _first(name: str, value, ts: str) -> Part:
-    return Part(name, F.min_by(value, ts), F.min_by(name, "first_ts"))
+    return Part(name, "first", F.min_by(value, ts), F.min_by(name, "first_ts"))
 
 
 def _last(name: str, value, ts: str) -> Part:
-    return Part(name, F.max_by(value, ts), F.max_by(name, "last_ts"))
+    return Part(name, "last", F.max_by(value, ts), F.max_by(name, "last_ts"))
 
 
 @dataclass(frozen=True)
@@ -243,12 +247,22 @@ def merge_slots(
     steps = numbered.withColumn("_lead_in", lead_in)
     for e in spec.energies:
         # The inputs of a slot fact are those of the slot's first row.
-        unknown = F.col("_lead_in").isNull() & e.rate.isNotNull()
-        if e.idle_is_zero:
-            unknown = unknown & (e.rate != 0)
         steps = steps.withColumn(f"{e.name}__lead", (e.ticks * F.col("_lead_in")).cast("decimal(38,0)")).withColumn(
-            f"{e.name}__known", F.col(f"{e.name}__rated") - unknown.cast("long")
+            f"{e.name}__known",
+            F.col(f"{e.name}__rated") - (F.col("_lead_in").isNull() & draws_power(e)).cast("long"),
         )
+    return finish_sessions(steps, spec, keys)
+
+
+def draws_power(e: Energy) -> Column:
+    """True where a row's interval has to be known for its energy to be."""
+    drawn = e.rate.isNotNull()
+    return drawn & (e.rate != 0) if e.idle_is_zero else drawn
+
+
+def finish_sessions(steps: DataFrame, spec: SessionSpec, keys=VEHICLE) -> DataFrame:
+    """Sessions from facts that know their session, lead-in energy and number
+    of known intervals: one row per slot, or one for all of a session."""
     start, end = F.min("first_ts"), F.max("last_ts")
     return steps.groupBy(*keys, "session_id").agg(
         start.alias("session_start"),

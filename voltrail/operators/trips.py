@@ -61,7 +61,11 @@ def trip_slots(silver: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
 def trips_from_slots(
     slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS, carry_gap: bool = True
 ) -> DataFrame:
-    sessions = merge_slots(slots, trip_spec(), keys, gap, carry_gap)
+    return trips_of(merge_slots(slots, trip_spec(), keys, gap, carry_gap), keys)
+
+
+def trips_of(sessions: DataFrame, keys=VEHICLE) -> DataFrame:
+    """Sessions of moving rows under the names of trips."""
     return sessions.withColumnsRenamed(
         {"session_id": "trip_id", "session_start": "trip_start", "session_end": "trip_end"}
     ).select(*keys, *TRIP_COLUMNS)

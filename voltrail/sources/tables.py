@@ -96,23 +96,52 @@ def rebuild(
     return spark.table(quoted(table))
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_system(spark: SparkSession, path: str):
+    """A path and the file system it is on."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders below ``path``, oldest first."""
-    hadoop, system = _folder(spark, path)
+    hadoop, system = folder_system(spark, path)
     if not system.exists(hadoop):
         return []
     found = [s for s in system.listStatus(hadoop) if s.isDirectory()]
     return [s.getPath().getName() for s in sorted(found, key=lambda s: s.getModificationTime())]
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right below ``path``."""
+    hadoop, system = folder_system(spark, path)
+    if not system.exists(hadoop):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(hadoop) if s.isFile()]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; it is an error if it is there already."""
+    hadoop, system = folder_system(spark, path)
+    out = system.create(hadoop, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    hadoop, system = folder_system(spark, path)
+    source = system.open(hadoop)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def remove_folders(spark: SparkSession, path: str, names: list[str]) -> None:
     for name in names:
-        hadoop, system = _folder(spark, f"{path}/{name}")
+        hadoop, system = folder_system(spark, f"{path}/{name}")
         system.delete(hadoop, True)
 
 
