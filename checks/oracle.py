@@ -253,6 +253,7 @@ add(
     "SELECT *, cast(NULL AS double) AS efficiency_mi_per_kwh, cast(NULL AS double) AS soc_used FROM trip",
 )
 add("snk7", "SELECT * FROM trip_full")
+add("snk7_stored", "SELECT * FROM trip_full")
 _INSERTED = {"vehicle_id", "timestamp", "soc", "speed_kmh", "current_amps", "voltage_volts",
              "distance_mi", "ambient_temp_f"}
 _BRONZE_TYPES = {
@@ -486,6 +487,8 @@ add(
     f"""SELECT {_STORE} FROM store
   WHERE timestamp IS NULL OR NOT synced OR timestamp >= TIMESTAMP '2024-01-13 12:00:00'""",
 )
+for _key in ("sto3", "sto6"):
+    ORACLE[f"{_key}_stored"] = ORACLE[_key]
 add("sto7", "SELECT count(*) AS total FROM store")
 add("sto8", f"SELECT {_STORE} FROM store WHERE false")
 for _key, _cols, _part in (

@@ -289,6 +289,21 @@ def _upsert(t: Tables) -> DataFrame:
     return tables.upsert(target, trp.trip_ratios(base), [*KEY, "trip_id"], list(ratios))
 
 
+@query("snk7_stored")
+def _upsert_stored(t: Tables) -> DataFrame:
+    """The same upsert into trips stored by start date, in two parts."""
+    path = t.folder("trips-by-date")
+    ratios = {"efficiency_mi_per_kwh": "double", "net_energy_kwh": "double", "soc_used": "double"}
+    base = trp.trips(t.silver).withColumn("start_date", F.to_date("trip_start"))
+    tables.store_by(tables.add_columns(base, ratios), path, "start_date")
+    full = trp.trip_ratios(base)
+    odd = F.dayofmonth("start_date") % 2 == 1
+    tables.upsert_stored(t.spark, path, full.filter(odd), [*KEY, "trip_id"], list(ratios), "start_date")
+    rest = full.filter(~odd).drop("start_date")
+    tables.upsert_stored(t.spark, path, rest, [*KEY, "trip_id"], list(ratios), "start_date")
+    return tables.stored_by(t.spark, path).drop("start_date")
+
+
 add("snk8", lambda t: tables.partial_rows(t.bronze))
 
 
@@ -447,6 +462,22 @@ def _ids(t: Tables) -> DataFrame:
 add("sto1", lambda t: sto.unsynced(t.store, 250).select(*STORE_COLUMNS))
 add("sto2", lambda t: sto.pending_count(t.store))
 add("sto3", lambda t: sto.mark_synced(t.store, _ids(t)).select(*STORE_COLUMNS))
+@query("sto3_stored")
+def _mark_stored(t: Tables) -> DataFrame:
+    path = t.folder("store-by-date")
+    tables.store_by(sto.store_rows(t.store), path, sto.DAY)
+    sto.mark_synced_stored(t.spark, path, _ids(t))
+    return tables.stored_by(t.spark, path).select(*STORE_COLUMNS)
+
+
+@query("sto6_stored")
+def _retain_stored(t: Tables) -> DataFrame:
+    path = t.folder("store-by-date")
+    tables.store_by(sto.store_rows(t.store), path, sto.DAY)
+    sto.retain_stored(t.spark, path, 7, AS_OF)
+    return tables.stored_by(t.spark, path).select(*STORE_COLUMNS)
+
+
 add("sto4", lambda t: sto.recent(t.store).select(*STORE_COLUMNS))
 add(
     "sto5",

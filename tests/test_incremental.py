@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_telemetry import T0, bronze
 from voltrail import schemas
-from voltrail.operators import charging, telemetry, trips
+from voltrail.operators import charging, store, telemetry, trips
 from voltrail.sources import tables
 from voltrail.sources.batches import KEEP, BatchLog
 from voltrail.streaming import ingest
@@ -127,3 +127,50 @@ def test_a_batch_counts_once_and_whole(spark, tmp_path):
     assert sorted(map(tuple, log.read().filter("id = 0").collect()), key=str) == [(0, "y"), (0, None)]
     with pytest.raises(ValueError):
         BatchLog(spark, root, fanout=1)
+
+
+# --- merges that touch some partitions ---------------------------------------
+
+
+def test_upsert_rewrites_only_partitions_with_a_match(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = [(f"k{i}", f"d{i % 4}", float(i)) for i in range(40)] + [(None, "d9", 1.0)]
+    tables.store_by(spark.createDataFrame(rows, "k string, day string, x double"), path, "day")
+    before = files_of(tmp_path / "t")
+    source = spark.createDataFrame([("k1", 100.0), ("k5", 500.0), ("none", 1.0), (None, 9.0)], "k string, x double")
+    assert tables.upsert_stored(spark, path, source, ["k"], ["x"], "day") == ["d1", "d9"]
+    after = files_of(tmp_path / "t")
+    stays = {f for f in before if "day=d1" not in f and "day=d9" not in f}
+    assert stays and {f: before[f] for f in stays} == {f: t for f, t in after.items() if f in stays}
+    assert not any("day=d1" in f or "day=d9" in f for f in set(before) & set(after))
+    got = {r["k"]: r["x"] for r in tables.stored_by(spark, path).collect()}
+    assert got == {k: {"k1": 100.0, "k5": 500.0, None: 9.0}.get(k, x) for k, _, x in rows}
+    # A source that names partitions is searched for in those alone.
+    named = spark.createDataFrame([("k2", "d2", -1.0), ("k3", "d2", -1.0)], "k string, day string, x double")
+    assert tables.upsert_stored(spark, path, named, ["k"], ["x"], "day") == ["d2"]
+    assert {r["x"] for r in tables.stored_by(spark, path).filter("k in ('k2', 'k3')").collect()} == {-1.0, 3.0}
+    assert tables.upsert_stored(spark, path, named.limit(0), ["k"], ["x"], "day") == []
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]  # nothing is left beside the table
+
+
+def test_marks_and_retention_touch_some_dates(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    rows = [
+        ("a", T0, True), ("b", T0 + timedelta(seconds=5), True),  # a date that goes whole
+        ("c", T0 + timedelta(days=1), True), ("d", T0 + timedelta(days=1), None),  # one that loses a row
+        ("e", T0 + timedelta(days=2), False), ("f", T0 + timedelta(days=30), True), ("g", None, True),
+    ]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp, synced boolean")
+    tables.store_by(store.store_rows(df), path, store.DAY)
+    before = files_of(tmp_path / "s")
+    done = store.retain_stored(spark, path, 7, T0 + timedelta(days=20))
+    first = T0.date()
+    assert done == {"dropped": [first], "rewritten": [first + timedelta(days=1)]}
+    assert sorted(r["id"] for r in tables.stored_by(spark, path).collect()) == ["d", "e", "f", "g"]
+    after = files_of(tmp_path / "s")
+    moved = {f for f in before if f"date={first}" in f or f"date={first + timedelta(days=1)}" in f}
+    assert {f: t for f, t in before.items() if f not in moved} == {f: t for f, t in after.items() if f in before}
+    ids = spark.createDataFrame([("e",), ("f",), ("zz",), (None,)], "id string")
+    assert store.mark_synced_stored(spark, path, ids) == [first + timedelta(days=2)]  # f is marked already
+
+    assert store.pending(tables.stored_by(spark, path)).select("id").collect()[0]["id"] == "d"

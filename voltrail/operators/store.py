@@ -2,11 +2,12 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail import VEHICLE
 from voltrail.operators.numbering import number_rows
+from voltrail.sources import tables
 
 # Default sizes.
 RECENT_ROWS = 100
@@ -79,3 +80,49 @@ def sync_status(store: DataFrame) -> DataFrame:
         F.count_if(~is_synced()).alias("pending"),
         F.count_if(is_synced()).alias("total_synced"),
     )
+
+
+# --- the store as a table by date ------------------------------------------
+
+DAY = "date"
+
+
+def store_rows(store: DataFrame) -> DataFrame:
+    """Rows with the date they are stored under."""
+    return store.withColumn(DAY, F.to_date("timestamp"))
+
+
+def mark_synced_stored(spark: SparkSession, path: str, ids: DataFrame, key: str = "id") -> list:
+    """``mark_synced`` on a table stored by date: rewrites the dates that hold
+    a row to mark, found by a scan of id and flag, and returns them."""
+    table = tables.stored_by(spark, path)
+    open_rows = pending(table).select(key, DAY).join(ids.select(key), key, "left_semi")
+    days = tables.values_of(open_rows, DAY)
+    if days:
+        rows = table.filter(tables.among(DAY, days))
+        tables.replace_partitions(mark_synced(rows, ids, key).select(*table.columns), path, DAY, days)
+    return days
+
+
+def retain_stored(spark: SparkSession, path: str, days: int, now: datetime | Column | None = None) -> dict[str, list]:
+    """``retain`` on a table stored by date: dates of which no row is left are
+    dropped whole, dates that lose some rows are rewritten, and no other file
+    is touched.  Only dates up to the limit are searched."""
+    at = F.current_timestamp() if now is None else _time(now)
+    cutoff = at - F.make_dt_interval(F.lit(days))
+    table = tables.stored_by(spark, path)
+    expired = F.coalesce((F.col("timestamp") < cutoff) & F.col("synced"), F.lit(False))
+    counted = (
+        table.filter(F.col(DAY) <= F.to_date(cutoff))
+        .groupBy(DAY)
+        .agg(F.count_if(expired).alias("gone"), F.count(F.lit(1)).alias("n"))
+        .filter("gone > 0")
+    )
+    found = sorted(tuple(r) for r in counted.collect())  # a row per date
+    whole = [d for d, gone, n in found if gone == n]
+    some = [d for d, gone, n in found if gone < n]
+    if some:
+        rows = table.filter(tables.among(DAY, some)).filter(~expired)
+        tables.replace_partitions(rows, path, DAY, some)
+    tables.remove_folders(spark, path, [f"{DAY}={d}" for d in whole])
+    return {"dropped": whole, "rewritten": some}

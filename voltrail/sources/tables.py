@@ -7,6 +7,7 @@ an unused folder.
 """
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,6 +193,78 @@ def upsert(target: DataFrame, source: DataFrame, on: list[str], columns: list[st
     )
 
 
+# --- tables stored by partition --------------------------------------------
+
+
+def store_by(df: DataFrame, path: str, by: str) -> DataFrame:
+    """Write a table partitioned by ``by`` and read it."""
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+    return stored_by(df.sparkSession, path, df.schema)
+
+
+def stored_by(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
+
+
+def among(by: str, values: list) -> Column:
+    """Literals, so that a scan of a stored table lists only these partitions."""
+    known = [v for v in values if v is not None]
+    return F.col(by).isin(known) | F.col(by).isNull() if None in values else F.col(by).isin(known)
+
+
+def values_of(df: DataFrame, by: str) -> list:
+    """The distinct values of a partition column: one per partition at most."""
+    return sorted((r[0] for r in df.select(by).distinct().collect()), key=lambda v: (v is not None, v))
+
+
+def replace_partitions(rows: DataFrame, path: str, by: str, values: list) -> list[str]:
+    """Put ``rows`` in place of some partitions; all other files stay as they are.
+
+    ``rows`` may read the table: they are written beside it before anything is
+    replaced, and stay there if the job fails on the way, so it can be run
+    again.  Partitions among ``values`` that get no rows are removed.  A reader
+    of these partitions should not run at that moment.
+    """
+    spark = rows.sparkSession
+    if not values:
+        return []
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    rows.hint("rebalance", by).write.partitionBy(by).parquet(stage)
+    given = list_folders(spark, stage)
+    if given:
+        stored_by(spark, stage, rows.schema).hint("rebalance", by).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(by).parquet(path)
+    names = [f"{by}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for v in values]
+    remove_folders(spark, path, [n for n in names if n not in given])
+    above, _, name = stage.rpartition("/")
+    remove_folders(spark, above, [name])
+    return given
+
+
+def upsert_stored(
+    spark: SparkSession, path: str, source: DataFrame, on: list[str], columns: list[str], by: str
+) -> list:
+    """``upsert`` into a stored table; only partitions that hold a match are
+    read whole and rewritten.  Returns their values.
+
+    Where ``source`` has the partition column too, only partitions it names are
+    searched; else a scan of the key columns finds them.
+    """
+    table = stored_by(spark, path)
+    searched = table.filter(among(by, values_of(source, by))) if by in source.columns else table
+    alike = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in on]
+    matched = searched.select(*dict.fromkeys([*on, by])).alias("t").join(
+        source.select(*on).alias("s"), reduce(lambda a, b: a & b, alike), "left_semi"
+    )
+    values = values_of(matched, by)
+    if values:
+        rows = table.filter(among(by, values))
+        replace_partitions(upsert(rows, source, on, columns), path, by, values)
+    return values
+
+
 def partial_rows(df: DataFrame, columns=schemas.INSERT_COLUMNS) -> DataFrame:
     """Bronze rows that fill only the insert columns; the rest is NULL."""
     empty = df.sparkSession.createDataFrame([], schemas.BRONZE)
