@@ -871,3 +871,7 @@ add(
 )
 add("str5", "SELECT * FROM state")
 add("str6", f"SELECT {_SAMPLE} FROM sample")
+
+# Layers that follow what arrives hold what a build from scratch holds.
+for _key in ("sil13", "trp9", "chg6", *(f"gld{n}" for n in range(4, 12)), "dsh14"):
+    ORACLE[f"{_key}_refreshed"] = ORACLE[_key]

@@ -20,7 +20,7 @@ from voltrail.operators import sessions as ses
 from voltrail.operators import store as sto
 from voltrail.operators import telemetry as sil
 from voltrail.operators import trips as trp
-from voltrail.plans import pipeline
+from voltrail.plans import pipeline, refresh
 from voltrail.session import scratch
 from voltrail.sources import exports, files, tables
 from voltrail.streaming import ingest
@@ -121,7 +121,25 @@ class Tables:
         return scratch(self.spark, purpose)
 
 
+    @property
+    def refreshed(self) -> refresh.Lake:
+        """Layers built without four drives of the middle and their corrected
+        copies, and brought up to date when these arrive."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _REFRESHED:
+            root = self.folder("refreshed")
+            number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+            middle = self.events.agg(F.expr("max(event_id) div 400 * 200").alias("m")).first()["m"] or 0
+            late = number.between(middle - 800, middle - 1) | (F.col("id").startswith("d") & (number % 400 == 0))
+            stored = tables.store_by(self.bronze.withColumn("late", late), f"{root}/bronze", "late")
+            lake = refresh.build(stored.filter("NOT late").drop("late"), f"{root}/lake")
+            refresh.refresh(lake, stored.drop("late"), stored.filter("late").drop("late"))
+            _REFRESHED[key] = lake
+        return _REFRESHED[key]
+
+
 _STORED: dict[tuple[str, str], pipeline.Stored] = {}
+_REFRESHED: dict[tuple[str, str], refresh.Lake] = {}
 REGISTRY: dict[str, Query] = {}
 
 
@@ -627,6 +645,19 @@ add("dsh18", lambda t: dsh.last_day(t.stored_silver, AS_OF, keys=KEY))
 add("dsh19", lambda t: dsh.soc_week(t.stored_silver, AS_OF, keys=KEY))
 add("dsh20", lambda t: dsh.electricity_cost(t.monthly))
 
+# --- layers that follow what arrives ---------------------------------------
+
+add("sil13_refreshed", lambda t: t.refreshed.silver.select(*sil.silver(t.bronze).columns))
+add("trp9_refreshed", lambda t: t.refreshed.sessions(refresh.KINDS[0]))
+add("chg6_refreshed", lambda t: t.refreshed.charges)
+REFRESHED = {
+    "gld4": "lifetime_kpis", "gld5": "daily_summary", "gld6": "weekly_summary", "gld7": "monthly_summary",
+    "gld8": "hourly_patterns", "gld9": "battery_health", "gld10": "efficiency_by_temperature",
+    "gld11": "efficiency_by_speed", "dsh14": "weekday_distribution",
+}
+for _key, _table in REFRESHED.items():
+    add(f"{_key}_refreshed", lambda t, n=_table: t.refreshed.gold(n).drop("last_updated"))
+
 # --- verification ----------------------------------------------------------
 
 add("ver1", lambda t: ver.ingest_summary(t.bronze))

@@ -1,14 +1,16 @@
 """Streams that close sessions, committed batches, and tables kept up to date."""
 
 import random
+import re
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_telemetry import T0, bronze
+from tests.test_telemetry import T0, bronze, plan
 from voltrail import schemas
-from voltrail.operators import charging, store, telemetry, trips
+from voltrail.operators import charging, gold_state, store, telemetry, trips
+from voltrail.plans import refresh
 from voltrail.sources import tables
 from voltrail.sources.batches import KEEP, BatchLog
 from voltrail.streaming import ingest
@@ -96,15 +98,15 @@ def test_a_stream_of_sessions_needs_a_key(spark, tmp_path):
 
 def test_batches_merge_by_size_and_stay_few(spark, tmp_path):
     root = f"file://{tmp_path}/t"
-    log, written = BatchLog(spark, root, fanout=4, facts={"max_id": F.max("id")}), 0
-    for n in range(40):
+    log, written = BatchLog(spark, root, fanout=3, facts={"max_id": F.max("id")}), 0
+    for n in range(20):
         assert log.commit(spark.range(n * 10, n * 10 + 10), n)
         written = max(written, len(log.manifest().entries))
-    assert written <= 3 * 4  # at most three waiting folders a tier, and one more while merging
-    assert log.read().count() == 400 and log.read().distinct().count() == 400
-    assert [(e.first, e.last) for e in log.manifest().entries] == [(0, 15), (16, 31), (32, 35), (36, 39)]
-    assert sum(e.rows for e in log.manifest().entries) == 400
-    assert max(e.facts["max_id"] for e in log.manifest().entries) == 399
+    assert written <= 3 * 2  # two waiting folders a tier
+    assert log.read().count() == 200 and log.read().distinct().count() == 200
+    assert [(e.first, e.last) for e in log.manifest().entries] == [(0, 8), (9, 17), (18, 18), (19, 19)]
+    assert sum(e.rows for e in log.manifest().entries) == 200
+    assert max(e.facts["max_id"] for e in log.manifest().entries) == 199
     assert len(list((tmp_path / "t" / "log").glob("[0-9]*"))) == KEEP
     kept = {e.folder for e in log.manifest().entries} | {f for _, f in log.manifest().retired}
     assert {p.name for p in (tmp_path / "t" / "data").iterdir() if p.is_dir()} == kept
@@ -174,3 +176,63 @@ def test_marks_and_retention_touch_some_dates(spark, tmp_path):
     assert store.mark_synced_stored(spark, path, ids) == [first + timedelta(days=2)]  # f is marked already
 
     assert store.pending(tables.stored_by(spark, path)).select("id").collect()[0]["id"] == "d"
+
+
+# --- layers that follow what arrives -----------------------------------------
+
+
+def _same_layers(lake, full):
+    for kind in refresh.KINDS:
+        got, want = lake.sessions(kind), full.sessions(kind)
+        assert same(got, want), kind.name
+    assert same(lake.silver.select(*full.silver.columns), full.silver)
+    for name in gold_state.TABLES:
+        drop = "last_updated"
+        assert same(lake.gold(name).drop(drop), full.gold(name).drop(drop)), name
+
+
+def test_refresh_equals_a_build_from_scratch(spark, tmp_path):
+    """Late rows inside, between, before and after what is stored; corrected
+    copies, one of which takes an instant away and parts a session."""
+    root, rows, rng = f"file://{tmp_path}", _days(3, 4), random.Random(3)
+    late_days = {("v0", 2), ("v1", 0), ("v1", 3), ("v2", 1)}
+    day = lambda r: (r["at"] + 43_200) // 86_400  # noqa: E731  T0 is noon
+    first = [r for r in rows if (r["vehicle_id"], day(r)) not in late_days]
+    second = [r for r in rows if (r["vehicle_id"], day(r)) in late_days]
+    corrected = [{**r, "speed_kmh": rng.choice([0, 30, 250]), "_ingested_at": T0 + timedelta(days=99)} for r in rng.sample(first, 6)]
+    second += corrected + [{"at": 7 * 86_400, "vehicle_id": "new", "speed_kmh": 40}]
+    lake = refresh.build(bronze(spark, first), f"{root}/lake")
+    every = bronze(spark, first + second)
+    refresh.refresh(lake, every, bronze(spark, second))
+    _same_layers(lake, refresh.build(every, f"{root}/full"))
+    # Nothing new: nothing is written.
+    before = files_of(tmp_path / "lake" / "trips")
+    assert refresh.refresh(lake, every, bronze(spark, [])) == {}
+    assert files_of(tmp_path / "lake" / "trips") == before
+
+
+def test_a_late_drive_rewrites_its_own_and_the_next_date(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    drive = lambda d: [{"at": d * 86_400 + s, "speed_kmh": 50, "current_amps": 9.0, "voltage_volts": 400.0, "distance_mi": float(s)} for s in (0, 60, 120)]
+    rows = [r for d in range(8) if d != 4 for r in drive(d)]
+    lake = refresh.build(bronze(spark, rows), f"{root}/lake")
+    before = files_of(tmp_path / "lake")
+    done = refresh.refresh(lake, bronze(spark, rows + drive(4)), bronze(spark, drive(4)))
+    late = (T0 + timedelta(days=4)).date()
+    # The drive after it takes its idle time from the late one now.
+    assert done == {"silver": [late], "trips": [late, late + timedelta(days=1)], "charges": []}
+    after = files_of(tmp_path / "lake")
+    touched = (str(late), str(late + timedelta(days=1)))
+    stays = {f: t for f, t in before.items() if not any(f"={d}" in f for d in touched)}
+    assert len(stays) > 20 and all(after.get(f) == t for f, t in stays.items())
+    # Gold reads the partitions of the dates that changed, and no others.
+    for source, column in (("trips", "start_date"), ("silver", "date")):
+        rows = lake.state_rows(source, done[source])
+        assert re.search(rf"PartitionFilters: \[[^\n]*{column}#\d+ (IN|=)", plan(rows))
+        read = {r[0] for r in rows.select(F.input_file_name()).distinct().collect()}
+        assert read and all(any(f"{column}={d}" in f for d in done[source]) for f in read)
+
+
+def test_refresh_needs_slots_within_a_day(spark, tmp_path):
+    with pytest.raises(ValueError):
+        refresh.Lake(spark, str(tmp_path), gap=7 * 60)

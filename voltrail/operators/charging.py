@@ -54,11 +54,11 @@ def charges_from_slots(
     return charges_of(merge_slots(slots, charge_spec(), keys, gap, carry_gap), keys)
 
 
-def charges_of(sessions: DataFrame, keys=VEHICLE) -> DataFrame:
+def charges_of(sessions: DataFrame, keys=VEHICLE, more: tuple[str, ...] = ()) -> DataFrame:
     """Sessions of charging rows under the names of charging sessions."""
     return sessions.withColumnsRenamed(
         {"session_start": "charge_start", "session_end": "charge_end"}
-    ).select(*keys, *CHARGE_COLUMNS)
+    ).select(*keys, *CHARGE_COLUMNS, *more)
 
 
 def charging_sessions(

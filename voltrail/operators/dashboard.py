@@ -7,7 +7,7 @@ sort the rows of one time range.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltrail.functions.measures import bucket, fixed_avg, fixed_sum, label, ratio
+from voltrail.functions.measures import bucket, fixed_avg, fixed_sum, label, ratio, ticks
 from voltrail.operators.gold import MIN_CHARGE_MINUTES
 from voltrail.operators.trips import MIN_TRIP_MILES, moving
 
@@ -83,7 +83,7 @@ def cumulative_totals(daily: DataFrame, keys=()) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("drive_date")
 
     def running(col: str, places: int) -> Column:
-        return F.sum(F.rint(F.col(col) * 10.0**places)).over(so_far) / 10.0**places
+        return F.sum(ticks(F.col(col), places)).over(so_far).cast("double") / 10.0**places
 
     return daily.select(
         *keys,
@@ -145,21 +145,21 @@ def weekday_distribution(silver: DataFrame, keys=()) -> DataFrame:
     Rows are first summed per date, so the distinct count of dates is a plain
     count over at most one row per date.
     """
-    speed, eff = F.col("speed_mph"), F.col("instant_efficiency_mi_per_kwh")
+    speed, eff = ticks(F.col("speed_mph"), 1), ticks(F.col("instant_efficiency_mi_per_kwh"), 2)
     per_date = (
         moving(silver)
         .groupBy(*keys, "day_of_week", "date")
         .agg(
-            F.sum(F.rint(eff * 100.0)).alias("eff_sum"),
+            F.sum(eff).alias("eff_sum"),
             F.count(eff).alias("eff_n"),
-            F.sum(F.rint(speed * 10.0)).alias("speed_sum"),
+            F.sum(speed).alias("speed_sum"),
             F.count(speed).alias("speed_n"),
         )
     )
 
     def avg(name: str, places: int) -> Column:
         n = F.nullif(F.sum(f"{name}_n"), F.lit(0))
-        return F.round(F.sum(f"{name}_sum") / n / 10.0**places, places)
+        return F.round(F.sum(f"{name}_sum").cast("double") / n / 10.0**places, places)
 
     return (
         per_date.groupBy(*keys, "day_of_week")

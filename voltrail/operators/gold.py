@@ -89,7 +89,11 @@ def _with_capacity(silver: DataFrame) -> DataFrame:
 
 def lifetime_kpis(trips: DataFrame, charges: DataFrame, silver: DataFrame, keys=()) -> DataFrame:
     """One row per key (one in all for ``keys=()``), also where a part is empty."""
-    parts = [trip_totals(trips, keys), charge_totals(charges, keys), battery_ends(silver, keys)]
+    return kpis_of([trip_totals(trips, keys), charge_totals(charges, keys), battery_ends(silver, keys)], keys)
+
+
+def kpis_of(parts: list[DataFrame], keys=()) -> DataFrame:
+    """The lifetime measures from trip totals, charge totals and battery ends."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # Each column is filled by one part only, in one row per key.
     t = stacked.groupBy(*keys).agg(

@@ -210,9 +210,12 @@ def _watts(power: Column, seconds: Column) -> Column:
     return F.sum((power * seconds).cast("decimal(38,0)"))
 
 
-def number_slots(slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
+def number_slots(slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS, before: str | None = None) -> DataFrame:
     """Add each slot's neighbours and its session number, from 1 per key.
 
+    ``before`` names a column with the last instant ahead of a key's slots,
+    where they are not all the key has.
+
     Without keys all slots are put in order together, which the calendar
     bounds as long as slots are not too short.
     """
@@ -220,8 +223,9 @@ def number_slots(slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
         raise ValueError(f"without keys the gap must be {LEAST_UNKEYED_GAP} seconds or more")
     order = Window.partitionBy(*keys).orderBy("_slot")
     first, prev = _whole_second("first_ts"), _whole_second("prev_last_ts")
+    lag = F.lag("last_ts").over(order)
     return (
-        slots.withColumn("prev_last_ts", F.lag("last_ts").over(order))
+        slots.withColumn("prev_last_ts", lag if before is None else F.coalesce(lag, F.col(before)))
         .withColumn("next_first_ts", F.lead("first_ts").over(order))
         .withColumn("starts", F.col("prev_last_ts").isNull() | (first - prev > gap))
         .withColumn(
@@ -234,14 +238,19 @@ def number_slots(slots: DataFrame, keys=VEHICLE, gap=GAP_SECONDS) -> DataFrame:
 
 
 def merge_slots(
-    slots: DataFrame, spec: SessionSpec, keys=VEHICLE, gap=GAP_SECONDS, carry_gap: bool = False
+    slots: DataFrame,
+    spec: SessionSpec,
+    keys=VEHICLE,
+    gap=GAP_SECONDS,
+    carry_gap: bool = False,
+    before: str | None = None,
 ) -> DataFrame:
     """Sessions from slot facts, whether they come from a batch or a stream.
 
     ``carry_gap=True`` also integrates the idle interval in front of a
     session, at the power of the session's first row.
     """
-    numbered = number_slots(slots, keys, gap)
+    numbered = number_slots(slots, keys, gap, before)
     idle = _whole_second("first_ts") - _whole_second("prev_last_ts")
     lead_in = idle if carry_gap else F.when(F.col("starts"), F.lit(0)).otherwise(idle)
     steps = numbered.withColumn("_lead_in", lead_in)

@@ -64,11 +64,11 @@ def trips_from_slots(
     return trips_of(merge_slots(slots, trip_spec(), keys, gap, carry_gap), keys)
 
 
-def trips_of(sessions: DataFrame, keys=VEHICLE) -> DataFrame:
+def trips_of(sessions: DataFrame, keys=VEHICLE, more: tuple[str, ...] = ()) -> DataFrame:
     """Sessions of moving rows under the names of trips."""
     return sessions.withColumnsRenamed(
         {"session_id": "trip_id", "session_start": "trip_start", "session_end": "trip_end"}
-    ).select(*keys, *TRIP_COLUMNS)
+    ).select(*keys, *TRIP_COLUMNS, *more)
 
 
 def trips(

@@ -6,6 +6,7 @@ overwrites what it or anyone else reads, and a failed job leaves no trace but
 an unused folder.
 """
 
+import json
 import uuid
 from functools import reduce
 
@@ -196,15 +197,26 @@ def upsert(target: DataFrame, source: DataFrame, on: list[str], columns: list[st
 # --- tables stored by partition --------------------------------------------
 
 
+#: File beside the partitions that keeps a table's schema, so that one without
+#: rows can be read, and none has to be inferred.
+SCHEMA_FILE = "_schema"
+
+
 def store_by(df: DataFrame, path: str, by: str) -> DataFrame:
     """Write a table partitioned by ``by`` and read it."""
+    spark = df.sparkSession
     df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
-    return stored_by(df.sparkSession, path, df.schema)
+    fields = [*[f for f in df.schema.fields if f.name != by], df.schema[by]]
+    write_text(spark, f"{path}/{SCHEMA_FILE}", T.StructType(fields).json())
+    return stored_by(spark, path)
 
 
-def stored_by(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path)
+def stored_by(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``store_by``, or any other parquet folder."""
+    if SCHEMA_FILE not in list_files(spark, path):
+        return spark.read.parquet(path)
+    found = T.StructType.fromJson(json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}")))
+    return spark.read.schema(found).parquet(path)
 
 
 def among(by: str, values: list) -> Column:
@@ -233,7 +245,7 @@ def replace_partitions(rows: DataFrame, path: str, by: str, values: list) -> lis
     rows.hint("rebalance", by).write.partitionBy(by).parquet(stage)
     given = list_folders(spark, stage)
     if given:
-        stored_by(spark, stage, rows.schema).hint("rebalance", by).write.mode("overwrite").option(
+        spark.read.schema(rows.schema).parquet(stage).hint("rebalance", by).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(by).parquet(path)
     names = [f"{by}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for v in values]
