@@ -13,7 +13,7 @@ from voltrail.operators import charging, gold_state, store, telemetry, trips
 from voltrail.plans import refresh
 from voltrail.sources import tables
 from voltrail.sources.batches import KEEP, BatchLog
-from voltrail.streaming import ingest
+from voltrail.streaming import ingest, sync
 from voltrail.streaming import sessions as stream_ses
 
 
@@ -236,3 +236,48 @@ def test_a_late_drive_rewrites_its_own_and_the_next_date(spark, tmp_path):
 def test_refresh_needs_slots_within_a_day(spark, tmp_path):
     with pytest.raises(ValueError):
         refresh.Lake(spark, str(tmp_path), gap=7 * 60)
+
+
+# --- arrival and upload logs -------------------------------------------------
+
+
+def test_arrival_lists_and_rewrites_little(spark, tmp_path, monkeypatch):
+    """Ten batches: what a reader lists stays small, copies are settled on the way."""
+    monkeypatch.setattr(ingest, "BatchLog", lambda *a, **k: BatchLog(*a, **k, fanout=3))
+    root, rows = f"file://{tmp_path}", []
+    for n in range(10):
+        part = [{"at": s, "soc": float(10 * n + s), "_ingested_at": T0 + timedelta(hours=n), "id": f"{n}-{s}"} for s in range(n, n + 3)]
+        rows += part
+        bronze(spark, part).coalesce(1).write.parquet(f"{root}/in/{n}")
+    stream = spark.readStream.schema(schemas.BRONZE).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    ingest.drain(ingest.latest_on_arrival(stream, f"{root}/t", f"{root}/ck"))
+    logs = [BatchLog(spark, f"{root}/t/{name}").manifest() for name in ("bronze", "latest")]
+    assert [m.last for m in logs] == [9, 9] and all(len(m.entries) <= 4 for m in logs)
+    assert sum(e.rows for e in logs[0].entries) == 30 and sum(e.rows for e in logs[1].entries) < 30
+    got, want = ingest.latest(spark, f"{root}/t"), telemetry.dedup_latest(bronze(spark, rows))
+    assert same(got.select(*want.columns), want) and ingest.arrived(spark, f"{root}/t").count() == 30
+    some = ingest.latest(spark, f"{root}/t", where=F.col("timestamp") < T0 + timedelta(seconds=2))
+    assert some.count() == 2
+
+
+def test_a_failure_between_files_and_marks_neither_loses_nor_doubles(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}"
+    rows = [(f"i{n}", T0 + timedelta(seconds=n), n % 4 == 0) for n in range(20)]
+    schema = "id string, timestamp timestamp, synced boolean"
+    full = spark.createDataFrame(rows, schema).withColumn("vehicle_id", F.lit("v"))
+    for name in schemas.MEASURE_NAMES:
+        full = full.withColumn(name, F.lit(None).cast("double"))
+    full.coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(full.schema).parquet(f"{root}/in")
+    upload = lambda: ingest.drain(sync.sync_stream(stream, f"{root}/up", f"{root}/ck", "json", 7, marks=f"{root}/marks"))
+    with monkeypatch.context() as broken:
+        broken.setattr(BatchLog, "commit", lambda *a, **k: 1 / 0)
+        with pytest.raises(Exception):
+            upload()
+    written = spark.read.json(f"{root}/up/vehicle_data_*.json").count()
+    assert written == 15 and tuple(store.sync_status(sync.with_marks(full, f"{root}/marks")).first()) == (15, 5)
+    upload()
+    assert spark.read.json(f"{root}/up/vehicle_data_*.json").count() == 15
+    assert tuple(store.sync_status(sync.with_marks(full, f"{root}/marks")).first()) == (0, 20)
+    (entry,) = sync.upload_log(spark, f"{root}/marks").manifest().entries
+    assert (entry.rows, entry.facts) == (15, {"min_id": "i1", "max_id": "i9", "upload": "vehicle_data_000000000000.json"})

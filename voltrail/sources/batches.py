@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from voltrail.sources.tables import folder_system, list_files, list_folders, read_text, remove_folders, write_text
 
 FANOUT = 8
+#: Folders are named like partitions, so that real ones may lie below them.
+FOLDER = "_folder"
 #: Manifests that stay readable.
 KEEP = 4
 
@@ -107,22 +109,24 @@ class BatchLog:
 
     def _write(self, rows: DataFrame, first: int, last: int, tier: int) -> Entry | None:
         seen = Observation()
-        folder = f"{first:012d}-{last:012d}-{uuid.uuid4().hex}"
+        folder = f"{FOLDER}={first:012d}-{last:012d}-{uuid.uuid4().hex}"
         spread = rows.hint("rebalance", *self.partition_by) if self.partition_by else rows
         counted = spread.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in self.facts.items()])
         counted.write.partitionBy(*self.partition_by).parquet(f"{self.root}/data/{folder}")
         facts = dict(seen.get)
         return Entry(folder, first, last, n, tier, facts) if (n := facts.pop("rows")) else None
 
-    def commit(self, rows: DataFrame, batch: int) -> bool:
+    def commit(self, rows: DataFrame, batch: int, **about) -> bool:
         """Add a batch, once; False if it is known already.
 
-        Batches come in rising order, as a stream numbers them.
+        Batches come in rising order, as a stream numbers them.  ``about`` is
+        noted with the batch's folder.
         """
         now = self.manifest()
         if batch <= now.last:
             return False
         entry = self._write(self.merge(rows) if self.merge else rows, batch, batch, 0)
+        entry = entry and replace(entry, facts={**entry.facts, **about})
         schema = self._widened(now.schema, rows.schema)
         entries = (*now.entries, *([entry] if entry else []))
         self._publish(self._swept(replace(now, version=self._next(), last=batch, schema=schema, entries=entries)))
@@ -179,10 +183,12 @@ class BatchLog:
             return self.spark.createDataFrame([], schema)
         data = f"{self.root}/data"
         reader = self.spark.read.schema(schema).option("basePath", data)
-        return reader.parquet(*[f"{data}/{e.folder}" for e in entries])
+        return reader.parquet(*[f"{data}/{e.folder}" for e in entries]).drop(FOLDER)
 
-    def read(self) -> DataFrame:
-        """The rows of all committed batches."""
+    def read(self, where: Column | None = None) -> DataFrame:
+        """The rows of all committed batches; ``where`` may only look at what
+        copies of a row have in common."""
         now = self.manifest()
         rows = self._of(now, now.entries)
+        rows = rows if where is None else rows.filter(where)
         return self.merge(rows) if self.merge and len(now.entries) > 1 else rows

@@ -1,11 +1,12 @@
 """Streams into tables: append, and latest copy on arrival."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voltrail import VEHICLE
 from voltrail.operators.telemetry import dedup_latest, timed
+from voltrail.sources.batches import BatchLog
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -48,33 +49,34 @@ def first_on_arrival(df: DataFrame, delay: str, keys=VEHICLE, ts: str = "timesta
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
 
 
+def _arrivals(spark: SparkSession, root: str) -> BatchLog:
+    return BatchLog(spark, f"{root}/bronze", ("_date",))
+
+
+def _latest(spark: SparkSession, root: str, keys) -> BatchLog:
+    return BatchLog(spark, f"{root}/latest", ("_date",), lambda rows: dedup_latest(rows, keys))
+
+
 def latest_on_arrival(
     df: DataFrame, root: str, checkpoint: str, keys=VEHICLE, trigger: dict | None = None
 ) -> StreamingQuery:
     """Maintain bronze and the latest copy per key and instant below ``root``.
 
-    Each batch is appended to bronze, under its number, and the dates it
-    touches are rebuilt from bronze by a dynamic partition overwrite.  A
-    replayed batch replaces its own bronze rows and rebuilds the same dates, so
-    a lost executor or driver neither loses nor doubles rows.
+    Each batch is committed to two logs of batches: bronze, whose folders merge
+    as they are, and the latest copies, where a merge keeps the latest copy of
+    each row.  A batch writes its own rows and, over time, each row once per
+    tier of the log, however many batches there were before, and lists the few
+    folders its manifest names.  A replayed batch is committed once.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        timed(batch).withColumn("_date", F.to_date("timestamp")).hint("rebalance", "_date").write.mode(
-            "overwrite"
-        ).partitionBy("_date").parquet(f"{root}/bronze/_batch={batch_id}")
-        arrived = spark.read.parquet(f"{root}/bronze/_batch={batch_id}")
-        # Bounded by the days a batch covers; as literals they prune folders.
-        touched = [r[0] for r in arrived.select("_date").distinct().collect()]
-        if not touched:
-            return
-        known = spark.read.schema(arrived.schema).option("basePath", f"{root}/bronze").parquet(f"{root}/bronze")
-        dedup_latest(known.filter(F.col("_date").isin(touched)), keys).select(*arrived.columns).hint(
-            "rebalance", "_date"
-        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_date").parquet(
-            f"{root}/latest"
-        )
+        rows = timed(batch).withColumn("_date", F.to_date("timestamp")).persist()
+        try:
+            _arrivals(spark, root).commit(rows, batch_id)
+            _latest(spark, root, keys).commit(rows, batch_id)
+        finally:
+            rows.unpersist()
 
     return (
         df.writeStream.foreachBatch(merge)
@@ -84,9 +86,18 @@ def latest_on_arrival(
     )
 
 
-def latest(spark: SparkSession, root: str) -> DataFrame:
-    """The latest copy per key and instant, with its date as ``_date``."""
-    return spark.read.parquet(f"{root}/latest")
+def latest(spark: SparkSession, root: str, keys=VEHICLE, where: Column | None = None) -> DataFrame:
+    """The latest copy per key and instant, with its date as ``_date``.
+
+    The few folders of the log are compared on reading; ``where`` on key, time
+    or date reaches the scan.
+    """
+    return _latest(spark, root, keys).read(where)
+
+
+def arrived(spark: SparkSession, root: str, where: Column | None = None) -> DataFrame:
+    """All copies that came in, with their date as ``_date``."""
+    return _arrivals(spark, root).read(where)
 
 
 def latest_when_closed(df: DataFrame, delay: str, keys=VEHICLE, ts: str = "timestamp") -> DataFrame:
