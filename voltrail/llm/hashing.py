@@ -3,7 +3,7 @@
 import numpy as np
 
 #: Bytes of several texts that are hashed together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 
 _U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -14,18 +14,14 @@ _BASE = _U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U64(pow(int(_BASE), -1, 1 << 64))
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_POWERS = [np.ones(1, dtype=_U64), np.ones(1, dtype=_U64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 22)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, base, dtype=_U64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base; made for each batch, as a worker that
+    is used again would hold them for good."""
+    p = np.full(n, base, dtype=_U64)
+    p[:1] = 1
+    return np.multiply.accumulate(p, out=p)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -51,9 +47,8 @@ def word_hashes(texts: list[str], fold: bool = False) -> tuple[np.ndarray, np.nd
     if not blank[0]:
         edge = np.r_[0, edge]
     starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(data))
-    sums = np.r_[_U64(0), np.cumsum((_FOLDED if fold else _BYTE)[data] * power, dtype=_U64)]
-    words = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    sums = np.r_[_U64(0), np.cumsum((_FOLDED if fold else _BYTE)[data] * _powers(_BASE, len(data)), dtype=_U64)]
+    words = mixed((sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(data))[starts])
     bounds = np.cumsum([0, *[len(r) + 1 for r in raw]])
     return words, np.diff(np.searchsorted(starts, bounds))
 

@@ -214,6 +214,8 @@ def _classes(rows: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_docs"),
             F.min("doc_id").alias("first_id"),
             F.min(F.struct("doc_id", "text_hash")).alias("member"),
+            # A row with an id stays before one without.
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("survivor"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
         )
@@ -391,6 +393,12 @@ def groups(
     """One row per document: ``doc_id``, ``text_hash``, ``class_id`` (the
     least id of all documents that links connect it with), ``group_size`` and
     ``n_links``, the number of documents it is linked with, copies included."""
+    return _grouped(docs, threshold, tolerance, id_col, text_col).drop("survivor")
+
+
+def _grouped(docs: DataFrame, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """``groups`` with ``survivor``, the row of the group that comes first by
+    (id, NULL last; hash of the text); NULL for a document without words."""
     rows = checkpointed(signatures(docs, id_col, text_col))
     classes = checkpointed(_classes(rows))
     clusters = _clusters(classes, threshold, tolerance)
@@ -398,25 +406,26 @@ def groups(
     joined = roots(verified.select(F.col("set_id").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("set_id").agg(F.sum("links").alias("links"))
     rooted = (
-        classes.select("set_id", "n_docs", "first_id")
+        classes.select("set_id", "n_docs", "first_id", "survivor")
         .join(joined.select(F.col("u").alias("set_id"), F.col("v").alias("_root")), "set_id", "left")
         .join(links, "set_id", "left")
         .withColumn("_root", F.coalesce("_root", "set_id"))
     )
     whole = rooted.groupBy("_root").agg(
-        F.min("first_id").alias("class_id"), F.sum("n_docs").alias("group_size")
+        F.min("first_id").alias("class_id"), F.sum("n_docs").alias("group_size"), F.min("survivor").alias("survivor")
     )
-    facts = rooted.join(whole, "_root").select(
-        "set_id", "class_id", "group_size", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
+    facts = rooted.drop("survivor").join(whole, "_root").select(
+        "set_id", "class_id", "group_size", "survivor", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
     )
     named = rows.filter("set_id is not null").join(facts, "set_id")
-    columns = ["doc_id", "text_hash", "class_id", "group_size", "n_links"]
+    columns = ["doc_id", "text_hash", "class_id", "group_size", "n_links", "survivor"]
     alone = rows.filter("set_id is null").select(
         "doc_id",
         "text_hash",
         F.col("doc_id").alias("class_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(0).cast("long").alias("n_links"),
+        F.lit(None).cast(named.schema["survivor"].dataType).alias("survivor"),
     )
     return named.select(*columns).unionByName(alone)
 
@@ -427,13 +436,16 @@ def join_counts(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the least id of each group, all input columns kept.
+    """One document of each group, all input columns kept: the one with the
+    least id; of several without an id, or with the same one, the one whose
+    text has the least hash.
 
     Rows that are repeated altogether stay one; documents without words stay.
     """
-    found = checkpointed(groups(docs, threshold))
-    number = F.col("class_id")
-    gone = found.filter(number.isNotNull() & ~F.col("doc_id").eqNullSafe(number)).select(
+    found = checkpointed(_grouped(docs, threshold, TOLERANCE, "doc_id", "text"))
+    first = F.col("survivor")
+    stays = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_hash") == first["text_hash"])
+    gone = found.filter(first.isNotNull() & ~stays).select(
         F.col("doc_id").alias("__vt_id"), F.col("text_hash").alias("__vt_hash")
     )
     repeated = (

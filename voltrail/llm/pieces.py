@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from voltrail.llm.text import bounded_batches
 
 #: Units a worker remembers; the cache starts afresh beyond it.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 60_000
 
 # Field numbers and piece types of the model file.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6

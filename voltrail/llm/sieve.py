@@ -6,6 +6,8 @@ The bitmap has at most ``MOST_BITS`` bits whatever the number of keys: with
 more keys it lets more rows through, and the join that follows decides.
 """
 
+import weakref
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,10 +17,21 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27  # 16 MB at most
 _BLOCK = 32_768  # bits in one of Spark's bitmaps
 
 
+_MADE: weakref.WeakSet = weakref.WeakSet()
+
+
+def release() -> None:
+    """Give back the bitmaps made so far, on the driver and on all executors.
+    Call it once every table that tests against them is written."""
+    while _MADE:
+        _MADE.pop().destroy()
+
+
 class Sieve:
     def __init__(self, spark, bits: int, bitmap: np.ndarray):
         self.bits = bits
         self._shared = spark.sparkContext.broadcast(bitmap)
+        _MADE.add(self._shared)
 
     @classmethod
     def of(cls, keys: DataFrame, *columns: str) -> "Sieve":
