@@ -8,7 +8,7 @@ before and returns the columns of ``documents``; the last adds ``ids``.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltrail.llm import jaccard, language, lines, mixing, pieces
+from voltrail.llm import jaccard, language, lines, mixing, pieces, sieve
 from voltrail.llm.text import table
 from voltrail.session import scratch
 
@@ -25,6 +25,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language - no text, no letters - go; a missing
     ``lang`` becomes the identified one."""
+    sieve.release()  # the stage before is written
     model = language.Languages.fit(docs.filter(~language.held_out()))
     found = language.identified(docs, model)
     named = found.filter(F.col("lang_pred") != language.UNDETERMINED)
@@ -33,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so does a document all of whose words they were."""
+    sieve.release()  # the stage before is written
     left = lines.without_repeats(docs)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     return _sized(left.filter(~emptied))
@@ -40,16 +42,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id."""
+    sieve.release()  # the stage before is written
     return jaccard.one_of_each_group(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate and its draw say."""
+    sieve.release()  # the stage before is written
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix with the ids of every text."""
+    sieve.release()  # the stage before is written
     return pieces.with_ids(docs)
 
 
