@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from voltrail.llm.components import roots
 from voltrail.llm.hashing import shingle_sets
 from voltrail.llm.sieve import Sieve
-from voltrail.llm.text import bounded_batches
+from voltrail.llm.text import bounded_batches, give_back
 from voltrail.session import checkpointed
 
 SHINGLE = 5
@@ -195,6 +195,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rows.append((name, len(s), minhash(s).tobytes()))
             else:
                 rows.append((None, None, None))
+        give_back()
         return pd.DataFrame(rows, columns=["set_id", "n_shingles", "signature"])
 
     bounded_batches(docs)

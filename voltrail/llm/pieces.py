@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltrail.llm.text import bounded_batches
+from voltrail.llm.text import bounded_batches, give_back
 
+#: Signs of several texts that are encoded together.
+TOGETHER = 250_000
 #: Units a worker remembers; the cache starts afresh beyond it.
 CACHE_UNITS = 60_000
 
@@ -229,6 +231,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
+        out, held, signs = [], [], 0
+        for text in texts:
+            held.append(text)
+            signs += len(text)
+            if signs >= TOGETHER:
+                out += self._encode(held)
+                held, signs = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         head, tail = struct.pack("<I", self.begin), struct.pack("<I", self.end)
         prefix = _SPACE if self.model.dummy_prefix else ""
         split = [self._unit.findall(prefix + t.replace(" ", _SPACE)) if t else [] for t in texts]
@@ -278,7 +290,8 @@ def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text") -
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(text: pd.Series) -> pd.Series:
         found = codec(path).encode(text.fillna("").tolist())
-        return pd.Series([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in found])
+        give_back()
+        return pd.Series([np.frombuffer(x, dtype="<i4") for x in found])
 
     bounded_batches(docs)
     return docs.select(*kept, ids(text_col).alias("ids"))
@@ -309,6 +322,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     def digest(text: pd.Series) -> pd.DataFrame:
         c = codec(path)
         ids = c.encode(text.fillna("").tolist())
+        give_back()
         return pd.DataFrame(
             {
                 "n_tokens": [len(x) // 4 for x in ids],

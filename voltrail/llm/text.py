@@ -1,7 +1,10 @@
 """Words and tables, as all operators of this package read them."""
 
+import contextlib
+import ctypes
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,11 @@ def bounded_batches(df: DataFrame) -> None:
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system; a worker is
+    used again by later stages, which should not find it taken."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some systems can
+        ctypes.CDLL(None).malloc_trim(0)
