@@ -395,7 +395,8 @@ def test_main_text():
     assert html.main_text(page) == f"Head\n{want}\nEnd."
     plain = f'<div id="nav">a b</div><div><h2>Head</h2>{body}</div><div class="cookie-notice">{"ok " * 60}</div>'
     assert html.main_text(plain) == f"Head\n{want}"
-    assert html.main_text(None) == html.main_text("") == html.main_text("<p>hi</p>") == ""
+    assert html.main_text(None) == html.main_text("") == ""
+    assert html.main_text("<p>hi</p>") == "hi"
     assert html.main_text("<article><p>cut &am") == "cut &am"
     assert html.main_text("<article><p>x<a href='a>b'>y</a> <!-- no") == "xy"
 
@@ -414,6 +415,31 @@ def test_main_text_outside_articles_and_short():
     assert html.main_text("<p>Yes</p><nav>n</nav><p>A short body here.</p>") == "A short body here."
 
 
+def test_main_text_names_of_parts():
+    long = "A long sentence of plain words that goes on for a while. " * 4
+    p, want = f"<p>{long}</p>", long.strip()
+    end = "A short closing sentence."
+    for page, text in [
+        (f'<div id="page" class="no-header"><article>{p}</article></div>', want),
+        (f'<div class="content has-sidebar">{p}</div>', want),
+        (f"<div>{p}<aside>x</aside><p>{end}</p></div>", f"{want}\n{end}"),
+        (f'<article>{p}</article><article class="comment">{p}</article>', want),
+        (f'<div class="sidebar main"><main>{p}</main></div>', want),
+        (f'<div class="related"><div id="header"><article>{p}{p}</article></div></div><p>x</p>', f"{want}\n{want}\nx"),
+        (f'<div class="comments"><h2>Say</h2><article class="comment-body">{long}</article></div><div>{p}</div>', want),
+        (f'<div class="related-posts"><article>Card {long}</article></div><div>{p}{p}</div>', f"{want}\n{want}"),
+        (f'<div class="site-header">{p}</div><div class="share-buttons">{p}</div>{p}<ul id="comment-list">{p}</ul>', want),
+    ]:
+        assert html.main_text(page) == text
+
+
+def test_main_text_of_a_very_long_page(spark):
+    page = "<div class=ad><main>" + "<p>some words of a paragraph</p>" * 40_000 + "</main></div>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert [r["n_chars"] for r in html.extract(pages).collect()] == [40_000 * 26 - 1]
+    assert html.extract(pages.filter("page_id = 0")).count() == 0
+
+
 def test_surge_and_dive():
     lengths = np.array([5, 0, 0, 0, 4, 90, 3, 50, 0, 0, 0, 6, 0])
     kept = html.between_surge_and_dive(lengths, 80)

@@ -7,7 +7,8 @@ lengths of a sliding window of lines then show where text surges and where it
 dives to nothing; the lines between the two points are kept, all of them,
 short ones included.  The search and its bound are the same for all lines of
 all pages.  An article only gives weight: its short runs stay too, where no
-more text surges outside of articles.  Where nothing surges, the run that comes
+more text surges outside of articles.  A short paragraph beside surging ones,
+in the same element, stays as well.  Where nothing surges, the run that comes
 closest is the text.
 
 A page is worked on in its own row, in time proportional to its length;
@@ -20,6 +21,7 @@ columns are ignored.
 
 import html as entities
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,14 +46,31 @@ OUTSIDE = frozenset("nav header footer aside form menu dialog button label field
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 CLOSED_BY_BLOCK = frozenset(("p",))
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
-_NOT_TEXT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|"
-    r"newsletter|subscribe|signup|login|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|toolbar|"
-    r"share|sharing|social|related|recommend\w*|comments?|commentlist|respond|replies|disqus|pagination|pager|"
-    r"widget|tags|byline-links|skip-link|copyright|hidden|sr-only)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Names by which pages mark a part as no main text.  A name counts
+# as a whole word of a class or id, or joined with one of the affixes below;
+# `has-sidebar` or `no-header` say something about the page around them.
+_COMMENTS = "comments?|commentlist|respond|replies|disqus"
+_PARTS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|"
+    r"signup|login|nav\w*|menu|breadcrumbs?|sidebar|footer|header|masthead|toolbar|share|sharing|social|related|"
+    rf"recommend\w*|{_COMMENTS}|pagination|pager|widget|copyright"
 )
+_BEFORE = "site|page|global|main|top|bottom|left|right|primary|secondary|post|user|reader|social|cookie|consent|advert"
+_AFTER = (
+    "list|section|area|wrap|wrapper|container|box|bar|block|links?|buttons?|item|slot|unit|form|inner|body|thread|"
+    "posts?|articles?|stories|notice|banner|nav|menu"
+)
+
+
+def _named(words: str) -> re.Pattern:
+    one = rf"(?:(?:{_BEFORE})[_-]+)*(?:{words})(?:[_-]+(?:{_AFTER}|{words}|\d+))*"
+    return re.compile(rf"(?:^|\s)(?:{one}|byline-links|skip-link|hidden|sr-only)(?=\s|$)", re.IGNORECASE)
+
+
+_NOT_TEXT = _named(_PARTS)
+_OF_READERS = _named(_COMMENTS)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(
     rf"<!--(?:.*?--!?>|.*)|<(?P<raw>{RAW})\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*)"
@@ -61,58 +80,93 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_SOME_TEXT = re.compile(r"\S\s+\S|[.!?…。！？]")
 
 
-def _outside(name: str, attrs: str) -> bool:
-    """Does an element declare that it holds no main text?"""
+def _outside(name: str, attrs: str) -> tuple[bool, bool]:
+    """Does an element declare that it holds no main text; is it by its name
+    in a class or id alone?"""
     if name in OUTSIDE:
-        return True
+        return True, False
+    named = False
     for key, value in _ATTR.findall(attrs) if attrs.strip() else ():
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and name not in ("html", "body", *MAIN) and _NOT_TEXT.search(value):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "main"):
+            named |= bool((_OF_READERS if name == "article" else _NOT_TEXT).search(value))
         if key == "role" and value.lower() in _ROLES:
-            return True
+            return True, False
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return True, False
+    return named, named
+
+
+@dataclass(frozen=True)
+class Line:
+    text: str
+    main: bool = False  # stands in an article
+    block: str = ""  # name of its innermost block element
+    parent: int = -1  # where the element around that one begins
+
 
+@dataclass
+class _Open:
+    """An element that is open, or text that is outside by its name alone."""
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """Lines of text in page order, each with: stands in an article.
+    name: str
+    at: int
+    outside: bool
+    named: bool
+    main: bool
+    before: int  # signs of text before it
+    holds_main: bool = False
+
+
+def lines(page: str) -> list[Line]:
+    """Lines of text in page order.
 
     A part that declares itself no main text leaves a gap of ``WINDOW`` empty
-    lines.
+    lines.  A name in a class or id does not count for an element that holds a
+    ``main`` or an article and at least half of the page's text.
     """
-    out: list[tuple[str, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, outside, main
+    out, spared = _lines(page, frozenset())
+    return _lines(page, spared)[0] if spared else out
+
+
+def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int]]:
+    """The lines, and the places of elements that a name put outside wrongly."""
+    out: list[Line] = []
+    open_tags: list[_Open] = []
     parts: list[str] = []
-    depth_out = depth_main = 0
+    wrapping: list[tuple[int, int]] = []  # place and signs of text within
+    depth_out = depth_main = seen = 0
 
     def flush() -> None:
         line = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if line:
-            out.append((line, depth_main > 0))
+            blocks = [t for t in reversed(open_tags) if t.name in BLOCKS][:2]
+            block = blocks[0].name if blocks else ""
+            out.append(Line(line, depth_main > 0, block, blocks[1].at if len(blocks) > 1 else -1))
 
     def shut(k: int) -> None:
         """Close the element at place ``k`` and all inside it."""
         nonlocal depth_out, depth_main
         while len(open_tags) > k:
-            _, outside, main = open_tags.pop()
-            depth_main -= main
-            if outside:
+            tag = open_tags.pop()
+            depth_main -= tag.main
+            if tag.holds_main:
+                wrapping.append((tag.at, seen - tag.before))
+            if tag.outside:
                 depth_out -= 1
                 if not depth_out:
-                    out.extend([("", depth_main > 0)] * WINDOW)
+                    out.extend([Line("", depth_main > 0)] * WINDOW)
 
     at = 0
     for tag in _TOKEN.finditer(page):
         if not depth_out:
             parts.append(page[at : tag.start()])
+        seen += len(page[at : tag.start()].strip())
         at = tag.end()
         name = (tag["name"] or "").lower()
         if not name:
@@ -123,29 +177,37 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if tag["close"]:
             if block and not depth_out:
                 flush()
-            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), None)
-            if k is not None and (block or not any(n in BLOCKS for n, _, _ in open_tags[k + 1 :])):
+            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k].name == name), None)
+            if k is not None and (block or not any(t.name in BLOCKS for t in open_tags[k + 1 :])):
                 shut(k)
         else:
             if block and not depth_out:
                 flush()
             if block and open_tags:  # an open paragraph ends where a block begins
-                k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] in BLOCKS), None)
-                if k is not None and open_tags[k][0] in CLOSED_BY_BLOCK:
+                k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k].name in BLOCKS), None)
+                if k is not None and open_tags[k].name in CLOSED_BY_BLOCK:
                     shut(k)
             if name in VOID or tag["attrs"].endswith("/") and not block:
                 continue
-            outside = _outside(name, tag["attrs"])
+            outside, named = _outside(name, tag["attrs"])
+            if tag.start() in spared:
+                outside = named = False
+            main = name in MAIN and not outside
+            if main and depth_out:
+                for around in open_tags:
+                    around.holds_main |= around.named
             if outside:
                 if not block and not depth_out:
                     flush()
                 depth_out += 1
-            open_tags.append((name, outside, name in MAIN))
-            depth_main += name in MAIN
+            open_tags.append(_Open(name, tag.start(), outside, named, main, seen))
+            depth_main += main
     if not depth_out:
         parts.append(page[at:])
         flush()
-    return out
+    seen += len(page[at:].strip())
+    shut(0)
+    return out, frozenset(place for place, within in wrapping if 2 * within >= seen)
 
 
 def between_surge_and_dive(lengths: np.ndarray, surge: int) -> np.ndarray:
@@ -172,29 +234,30 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    lengths = np.array([len(line) for line, _ in found])
-    declared = np.array([main for _, main in found]) & (lengths > 0)
+    lengths = np.array([len(line.text) for line in found])
+    declared = np.array([line.main for line in found]) & (lengths > 0)
     kept = between_surge_and_dive(lengths, SURGE)
     # A short run of an article stays where articles hold most of the text.
     if lengths[declared].sum() >= lengths[kept & ~declared].sum():
         kept |= between_surge_and_dive(np.where(declared, lengths, 0), 1) & declared
+    # So does a block of prose right beside a block that surges.
+    prose = [line.parent if line.block in PROSE else None for line in found]
+    surging = {p for p, k in zip(prose, kept, strict=True) if k} - {None}
+    kept |= np.array([p in surging for p in prose])
     if not kept.any():
-        kept = _peak(found, lengths)
-    return "\n".join(line for (line, _), n, k in zip(found, lengths, kept, strict=True) if k and n)
-
+        kept = _peak(lengths)
+    return "\n".join(line.text for line, n, k in zip(found, lengths, kept, strict=True) if k and n)
 
-def _peak(found: list[tuple[str, bool]], lengths: np.ndarray) -> np.ndarray:
-    """The run with the longest window, on a page where no text surges.
 
-    A run of one word without an end mark is no text.
-    """
+def _peak(lengths: np.ndarray) -> np.ndarray:
+    """The run with the longest window, on a page where no text surges."""
     text = between_surge_and_dive(lengths, 1)
     best, most, at = np.zeros(len(lengths), dtype=bool), 0, 0
     for end in [*np.flatnonzero(~text), len(lengths)]:
         run = slice(at, end)
         at = end + 1
         height = max((lengths[k : k + WINDOW].sum() for k in range(run.start, run.stop)), default=0)
-        if height > most and _SOME_TEXT.search(" ".join(line for line, _ in found[run])):
+        if height > most:
             best[:], most = False, height
             best[run] = True
     return best
