@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import string
+import time
 import re
 import zlib
 
@@ -158,6 +160,29 @@ def test_pieces_equal_the_library(spark):
         assert codec.decode(np.array(ids, "<u4").tobytes()) == own.decode(ids)
 
 
+def test_long_units_equal_the_library():
+    import sentencepiece
+
+    codec = pieces.codec(pieces.default_model())
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(7)
+    ascii_signs = string.ascii_letters + string.digits + "+/"
+    texts = [
+        "".join(rng.choices(ascii_signs, k=1_000_000)),
+        "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(350_000)),
+        "a" * 300_000,
+        "the" * 100_000,
+        "\x01é🙂" * 2_000,
+    ]
+    texts += ["".join(rng.choices("abet\n▁的🙂 ", [9, 9, 9, 9, 1, 1, 1, 1, 1], k=rng.randrange(900))) for _ in range(200)]
+    began = time.monotonic()
+    found = codec.encode(texts)
+    assert time.monotonic() - began < 60
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_bos=True, add_eos=True)
+    assert max(map(len, codec._cache)) < pieces.LONG_UNIT  # long units are not remembered
+
+
 # --- op 3 ------------------------------------------------------------------
 
 

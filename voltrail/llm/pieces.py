@@ -7,10 +7,13 @@ one flat array, and each round finds the best pair of every unit (the lowest
 rank, the leftmost on ties), merges it in all units at once and compacts the
 array, until no unit has a pair left.  One merge per unit and round keeps the
 library's order of merges also where a merge makes a better pair than the one
-just used.
+just used.  A round costs as much as there are symbols, so a long unit is first
+cut wherever no piece holds both signs beside the cut, and what is still long
+takes its merges, in the same order, from a heap.
 
 A document's work stays in its row: nothing is shuffled, a lost task only
-repeats its own rows, and a batch and the unit cache bound the memory.
+repeats its own rows, and a batch and the unit cache bound the memory.  Long
+units are not remembered.
 
 Defined cases: a NULL text counts as empty, and an empty text is the begin and
 the end id; repeated rows each get their row; NULL ids are kept; other input
@@ -19,11 +22,12 @@ columns are ignored by ``encoded`` and kept by ``with_ids``.
 
 import codecs
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,6 +42,8 @@ from voltrail.llm.text import bounded_batches, give_back
 TOGETHER = 250_000
 #: Units a worker remembers; the cache starts afresh beyond it.
 CACHE_UNITS = 60_000
+#: Symbols from which a unit is long.
+LONG_UNIT = 256
 
 # Field numbers and piece types of the model file.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -147,6 +153,8 @@ class Codec:
         self._made = np.array([pairs[k][1] for k in keys.tolist()], dtype=np.int64)
         self._unit = self._unit_pattern(ids)
         self._cache: dict[str, bytes] = {}
+        beside = {ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:], strict=False)}
+        self._beside = np.array(sorted(beside), dtype=np.int64)
         self._controls = {i for i, k in enumerate(kinds) if k == _CONTROL}
         self._text = [self._piece_bytes(i) for i in range(len(model.pieces))]
 
@@ -211,8 +219,59 @@ class Codec:
         order = np.argsort(units_of, kind="stable")
         return all_symbols[order], np.searchsorted(units_of[order], np.arange(len(units) + 1))
 
+    @cached_property
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and piece of each pair; only long units need it."""
+        return dict(zip(self._keys.tolist(), zip(self._rank.tolist(), self._made.tolist(), strict=True), strict=True))
+
+    def _merge_long(self, unit: str) -> np.ndarray:
+        """Symbols of one unit after all merges, best pair first from a heap."""
+        flat = self._symbol[np.frombuffer(unit.encode("utf-32-le"), dtype="<u4")]
+        n = len(flat)
+        key = flat[:-1] * self._width + flat[1:]
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        place = np.flatnonzero(self._keys[at] == key)
+        heap = (self._rank[at[place]] * n + place).tolist()
+        heapq.heapify(heap)
+        symbols, after, before = flat.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs, width = self._pairs, self._width
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), n)
+            j = after[i]
+            if symbols[i] < 0 or j == n:
+                continue
+            best = pairs.get(symbols[i] * width + symbols[j])
+            if best is None or best[0] != rank:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j] = best[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := pairs.get(symbols[i] * width + symbols[k])) is not None:
+                    heapq.heappush(heap, new[0] * n + i)
+            if (h := before[i]) >= 0 and (new := pairs.get(symbols[h] * width + symbols[i])) is not None:
+                heapq.heappush(heap, new[0] * n + h)
+        merged = np.array(symbols, dtype=np.int64)
+        return merged[merged >= 0]
+
+    def _cut(self, unit: str) -> list[str]:
+        """A long unit in parts that no piece crosses."""
+        points = np.frombuffer(unit.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        key = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self._beside, key), len(self._beside) - 1)
+        cuts = (np.flatnonzero(self._beside[at] != key) + 1).tolist()
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+
     def _learn(self, units: list[str]) -> None:
-        symbols, starts = self._merge(units)
+        self._keep([u for u in units if len(u) < LONG_UNIT])
+        for unit in (u for u in units if len(u) >= LONG_UNIT):
+            self._keep([unit], self._merge_long(unit))
+
+    def _keep(self, units: list[str], merged: np.ndarray | None = None) -> None:
+        """Remember the ids of units; ``merged`` are the symbols of a long one."""
+        if not units:
+            return
+        symbols, starts = self._merge(units) if merged is None else (merged, np.array([0, len(merged)]))
         pieces = len(self.model.pieces)
         raw = symbols.astype("<u4").tobytes()
         at = (4 * starts).tolist()
@@ -246,11 +305,17 @@ class Codec:
         split = [self._unit.findall(prefix + t.replace(" ", _SPACE)) if t else [] for t in texts]
         if len(self._cache) > CACHE_UNITS:
             self._cache.clear()
+        for k, units in enumerate(split):
+            if any(len(u) >= LONG_UNIT for u in units):
+                split[k] = [p for u in units for p in (self._cut(u) if len(u) >= LONG_UNIT else (u,))]
         new = set(chain.from_iterable(split)).difference(self._cache)
         if new:
             self._learn(list(new))
         known = self._cache.__getitem__
-        return [b"".join((head, *map(known, units), tail)) for units in split]
+        found = [b"".join((head, *map(known, units), tail)) for units in split]
+        for unit in (u for u in new if len(u) >= LONG_UNIT):
+            del self._cache[unit]
+        return found
 
     # --- decoding ---------------------------------------------------------
 
