@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, within one edit.
 
-A line goes where an earlier line - of any document, in the order of ids and
-then of places - equals it or is one edit (a sign put in, left out or changed)
-away.  Lines shorter than ``MIN_CHARS`` take no part.
+A line with a word goes where an earlier line - of any document, in the order
+of ids and then of places - equals it, whatever its length, or where both have
+``MIN_CHARS`` signs or more and are one edit (a sign put in, left out or
+changed) apart: in a shorter line one edit makes another word.
 
 1. Lines become hashes; equal lines become one row with their first place.
 2. One edit leaves one half of a line as it is.  Lines that share no half with
@@ -17,7 +18,7 @@ away.  Lines shorter than ``MIN_CHARS`` take no part.
 
 Defined cases: a NULL text stays NULL; rows with one id and text count as one
 document and keep the same lines; an id that is NULL comes after all others,
-in an order given by the text; blank and short lines stay; other input columns
+in an order given by the text; blank lines stay; other input columns
 are kept by ``without_repeats``, but ``n_lines`` and ``n_removed`` are
 replaced.
 """
@@ -28,9 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.llm.sieve import Sieve
-from voltrail.llm.text import bounded_batches, whole
+from voltrail.llm.text import BLANKS, bounded_batches, whole
 from voltrail.session import checkpointed
 
+#: Signs from which lines also meet lines one edit away.
 MIN_CHARS = 20
 EDITS = 1
 
@@ -56,7 +58,7 @@ def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     rows = keyed.select("_doc", "_hash", F.posexplode("_lines"))
     place = F.col("_doc") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
-    return rows.filter(F.length("col") >= MIN_CHARS).select(
+    return rows.filter(F.col("col").rlike(f"[^{BLANKS}]")).select(
         "_doc", "_hash", F.col("pos").alias("line_no"), place.cast(_PLACE).alias("place"), F.col("col").alias("line"),
         F.xxhash64("col").alias("a"), F.xxhash64(F.lit("b"), "col").alias("b"),
     )
@@ -67,13 +69,15 @@ def _half_keys(line: Column) -> list[Column]:
 
     ``m`` is the length of the shorter line; each half of it stays whole in
     one of the two cases.  A line may be the shorter one or the longer one.
+    Short lines have no keys.
     """
     n = F.length(line)
+    long = n >= MIN_CHARS
     out = []
     for m in (n, n - 1):
         h = F.floor(m / 2).cast("int")
-        out.append(F.xxhash64(m, F.lit("head"), F.substr(line, F.lit(1), h)))
-        out.append(F.xxhash64(m, F.lit("tail"), F.substr(line, n - (m - h) + 1, m - h)))
+        out.append(F.when(long, F.xxhash64(m, F.lit("head"), F.substr(line, F.lit(1), h))))
+        out.append(F.when(long, F.xxhash64(m, F.lit("tail"), F.substr(line, n - (m - h) + 1, m - h))))
     return out
 
 
@@ -193,7 +197,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)],
         )
     )
-    near = checkpointed(_neighbours(lines, rows))
+    near = checkpointed(_neighbours(lines.filter("k0 is not null"), rows))
     wanted = (F.col("n") > 1) | Sieve.of(near, *_LINE).may_hold(*_LINE)
     earliest = checkpointed(
         lines.select(*_LINE, "first", "n")

@@ -71,15 +71,16 @@ _LINES = """
 WITH split AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l,
     unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
-long AS (SELECT * FROM split WHERE length(l) >= 20),
+worded AS (SELECT * FROM split WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 firsts AS (
-  SELECT l, min({d: doc_id, i: i}) AS place FROM long GROUP BY l),
+  SELECT l, min({d: doc_id, i: i}) AS place FROM worded GROUP BY l),
+long AS (SELECT * FROM firsts WHERE length(l) >= 20),
 halves AS (
   SELECT l, place, m, 'head' AS side, left(l, m // 2) AS part
-  FROM (SELECT l, place, unnest([length(l), length(l) - 1]) AS m FROM firsts)
+  FROM (SELECT l, place, unnest([length(l), length(l) - 1]) AS m FROM long)
   UNION ALL
   SELECT l, place, m, 'tail', right(l, m - m // 2)
-  FROM (SELECT l, place, unnest([length(l), length(l) - 1]) AS m FROM firsts)),
+  FROM (SELECT l, place, unnest([length(l), length(l) - 1]) AS m FROM long)),
 near AS (
   SELECT a.l, min(b.place) AS place FROM halves a JOIN halves b
     ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.place < a.place AND levenshtein(a.l, b.l) = 1
