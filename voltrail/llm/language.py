@@ -182,7 +182,9 @@ def _inferred(model: Languages, text_col: str):
             [row for part in parts for row in part], columns=["lang_pred", "score", "languages", "shares"]
         )
 
-    return infer(text_col)
+    # Else a filter on the result is pushed below it and infers every text a
+    # second time, in a second set of Python workers.
+    return infer.asNondeterministic()(text_col)
 
 
 def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
