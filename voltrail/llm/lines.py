@@ -227,7 +227,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__vt_gone"))
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    # Bound as one struct: inside the inner lambda the text would be split for every line.
+    bound = F.array(F.struct(lines.alias("lines"), stay.alias("stay")))
+    kept_lines = F.transform(bound, lambda b: F.transform(b["stay"], lambda i: F.get(b["lines"], i)))
+    left = F.array_join(F.get(kept_lines, F.lit(0)), "\n")
     text = F.when(F.col("__vt_gone").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in kept],
