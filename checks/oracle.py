@@ -224,6 +224,12 @@ CTE["charge_inside"] = charge_sql(INSIDE)
 # --- sources and sinks -----------------------------------------------------
 
 add("src1", f"SELECT vehicle_id, timestamp, {MEASURES} FROM bronze")
+for name in ("src1_damaged", "src2_damaged"):
+    add(
+        name,
+        """SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 'damaged' WHEN event_id % 11 = 5 THEN 'untimed' ELSE 'row' END
+  AS reason, true AS has_file FROM events""",
+    )
 add("src3", "SELECT * FROM bronze")
 add("snk3", "SELECT vehicle_id, timestamp, power_kw FROM silver")
 add("snk9", "SELECT event_id, event_id % 3 <> 0 AS is_safe FROM events")

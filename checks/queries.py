@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixture
@@ -183,6 +183,51 @@ def _json_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("vehicle_id", "timestamp", *schemas.MEASURE_NAMES)
 
 
+def _told_apart(t: Tables, records: DataFrame) -> DataFrame:
+    """What became of each event's line: a row, or why it was set apart."""
+    root = t.folder("told")
+    ingest.drain(ingest.append_or_set_apart(records, root, t.folder("checkpoint")))
+    good = ingest.arrived(t.spark, root).select(
+        F.col("distance_mi").cast("long").alias("event_id"), F.lit("row").alias("reason"), "_source_file"
+    )
+    bad = ingest.set_apart(t.spark, root).select(
+        F.regexp_extract(files.RECORD, "(?:n/a|no time) ([0-9]+)", 1).cast("long").alias("event_id"),
+        F.col(files.REASON).alias("reason"), "_source_file",
+    )
+    return good.unionByName(bad).select("event_id", "reason", F.col("_source_file").isNotNull().alias("has_file"))
+
+
+def _upload_values(t: Tables) -> tuple[DataFrame, Column]:
+    """A time of each event, missing for some, and whether its line is damaged."""
+    number = F.col("event_id").cast("string")
+    time = F.when(F.col("event_id") % 11 == 5, F.concat(F.lit("no time "), number)).otherwise("2024-01-01T12:00:00Z")
+    return t.events.select("event_id", time.alias("timestamp"), number.alias("number")), F.col("event_id") % 7 == 6
+
+
+@query("src1_damaged")
+def _csv_damaged(t: Tables) -> DataFrame:
+    landing = t.folder("landing")
+    rows, damaged = _upload_values(t)
+    values = {
+        "timestamp": F.col("timestamp"),
+        "soc": F.when(damaged, F.concat(F.lit("n/a "), "number")).otherwise("50.5"),
+        "distance_mi": F.col("number"),
+    }
+    line = [values.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in schemas.CSV_FILE]
+    rows.select(*line).write.csv(landing, header=True)
+    return _told_apart(t, files.csv_records(t.spark, landing, "part-*.csv"))
+
+
+@query("src2_damaged")
+def _json_damaged(t: Tables) -> DataFrame:
+    landing = t.folder("landing")
+    rows, damaged = _upload_values(t)
+    whole = F.to_json(F.struct("timestamp", F.col("event_id").cast("double").alias("distanceMi")))
+    cut = F.concat(F.lit('{"timestamp": "2024-01-01T12:00:00Z", "soc": n/a '), "number")
+    rows.select(F.when(damaged, cut).otherwise(whole).alias("value")).write.text(landing)
+    return _told_apart(t, files.json_records(t.spark, landing, "part-*.txt"))
+
+
 @query("src3")
 def _declared(t: Tables) -> DataFrame:
     """Rows read back under the declared schema, nothing inferred."""

@@ -11,7 +11,7 @@ from tests.test_telemetry import T0, bronze, plan
 from voltrail import schemas
 from voltrail.operators import charging, gold_state, store, telemetry, trips
 from voltrail.plans import refresh
-from voltrail.sources import tables
+from voltrail.sources import files, tables
 from voltrail.sources.batches import KEEP, BatchLog
 from voltrail.streaming import ingest, sync
 from voltrail.streaming import sessions as stream_ses
@@ -281,3 +281,44 @@ def test_a_failure_between_files_and_marks_neither_loses_nor_doubles(spark, tmp_
     assert tuple(store.sync_status(sync.with_marks(full, f"{root}/marks")).first()) == (0, 20)
     (entry,) = sync.upload_log(spark, f"{root}/marks").manifest().entries
     assert (entry.rows, entry.facts) == (15, {"min_id": "i1", "max_id": "i9", "upload": "vehicle_data_000000000000.json"})
+
+
+# --- records set apart
+
+
+def test_every_line_is_a_row_or_set_apart(spark, tmp_path):
+    head = "timestamp," + ",".join(schemas.MEASURE_NAMES)
+    good, untimed = "2024-01-01T12:00:00Z,50.5" + "," * 15, "yesterday,50.5" + "," * 15
+    short, typed = "2024-01-01T12:00:00Z,50.5", "2024-01-01T12:00:00Z,x" + "," * 15
+    root, landing = f"file://{tmp_path}", tmp_path / "landing"
+    landing.mkdir()
+    (landing / "vehicle_data_1.csv").write_text("\n".join([head, good, untimed, short, typed]) + "\n")
+
+    def drain():
+        ingest.drain(ingest.append_or_set_apart(files.csv_records(spark, f"{root}/landing"), root, f"{root}/ck"))
+        bad = sorted((r["_reason"], r["_record"][:22], r["_source_file"][-18:]) for r in ingest.set_apart(spark, root).collect())
+        return ingest.arrived(spark, root).count(), bad
+
+    found = [
+        ("damaged", short[:22], "vehicle_data_1.csv"), ("damaged", typed[:22], "vehicle_data_1.csv"),
+        ("untimed", '{"timestamp":"yesterda', "vehicle_data_1.csv"),
+    ]
+    assert drain() == (1, found)
+    assert drain() == (1, found)  # nothing new, nothing twice
+    (landing / "vehicle_data_2.csv").write_text("\n".join([head, good, good]) + "\n")
+    assert drain() == (3, found)
+
+
+def test_json_lines_set_apart(spark, tmp_path):
+    landing, root = tmp_path / "landing", f"file://{tmp_path}"
+    landing.mkdir()
+    (landing / "vehicle_data_1.json").write_text(
+        '{"timestamp": "2024-01-01T12:00:00Z", "soc": 1.5}\n[{"timestamp": "2024-01-01T12:00:01Z", "socHD": 2.5}]\n'
+        '{"timestamp": "2024-01-01T12:00:02Z", "soc": \n{"soc": 3.5}\n{"timestamp": "2024-01-01T12:00:03Z", "soc": "x"}\n'
+    )
+    ingest.drain(ingest.append_or_set_apart(files.json_records(spark, f"{root}/landing"), root, f"{root}/ck"))
+    assert sorted(r["soc"] or r["soc_hd"] for r in ingest.arrived(spark, root).collect()) == [1.5, 2.5]
+    bad = {r["_record"]: r["_reason"] for r in ingest.set_apart(spark, root).collect()}
+    assert sorted(bad.values()) == ["damaged", "damaged", "untimed"]
+    assert bad['{"soc":3.5}'] == "untimed"
+    assert bad['{"timestamp": "2024-01-01T12:00:02Z", "soc": '] == "damaged"

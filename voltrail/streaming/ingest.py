@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voltrail import VEHICLE
 from voltrail.operators.telemetry import dedup_latest, timed
 from voltrail.sources.batches import BatchLog
+from voltrail.sources.files import REASON, RECORD
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -112,3 +113,46 @@ def latest_when_closed(df: DataFrame, delay: str, keys=VEHICLE, ts: str = "times
     return (
         df.withWatermark(ts, delay).groupBy(*keys, ts).agg(best.alias("_row")).select(*keys, ts, "_row.*")
     )
+
+
+# --- records set apart -----------------------------------------------------
+
+
+def _quarantine(spark: SparkSession, root: str) -> BatchLog:
+    return BatchLog(spark, f"{root}/quarantine")
+
+
+def append_or_set_apart(
+    records: DataFrame, root: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Commit good rows to bronze below ``root`` and all others to a quarantine.
+
+    ``records`` come from ``files.csv_records`` or ``files.json_records``.  Each
+    record that was read is in one of the two, once, also when a batch is
+    replayed; ``arrived`` and ``set_apart`` read them.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        try:
+            good = rows.filter(F.col(REASON).isNull()).drop(REASON, RECORD)
+            _arrivals(spark, root).commit(good.withColumn("_date", F.to_date("timestamp")), batch_id)
+            bad = rows.filter(F.col(REASON).isNotNull())
+            _quarantine(spark, root).commit(
+                bad.select("vehicle_id", "_ingested_at", "_source_file", REASON, RECORD), batch_id
+            )
+        finally:
+            rows.unpersist()
+
+    return (
+        records.writeStream.foreachBatch(split)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or AVAILABLE_NOW))
+        .start()
+    )
+
+
+def set_apart(spark: SparkSession, root: str) -> DataFrame:
+    """The records in quarantine, with file, reason and text."""
+    return _quarantine(spark, root).read()
