@@ -2,7 +2,7 @@
 
 import random
 import re
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +233,83 @@ def test_a_late_drive_rewrites_its_own_and_the_next_date(spark, tmp_path):
         assert read and all(any(f"{column}={d}" in f for d in done[source]) for f in read)
 
 
+def test_many_small_dates_share_folders(spark, tmp_path, monkeypatch):
+    """Twelve dates of a few rows: every layer has few folders, a late drive and a
+    later one rewrite theirs alone, and the layers equal a build from scratch."""
+    monkeypatch.setattr(tables, "FOLDERS", 3)
+    root = f"file://{tmp_path}"
+    row = {"current_amps": 9.0, "voltage_volts": 400.0, "battery_capacity_ah": 90.0}
+    drive = lambda d, v: [{"at": d * 86_400 + s, "vehicle_id": v, "speed_kmh": 50, "distance_mi": float(s), **row} for s in (0, 60)]
+    park = lambda d: [{"at": d * 86_400 + 9_000 + s, "vehicle_id": "v0", "speed_kmh": 0, "current_amps": -9.0, "voltage_volts": 400.0} for s in (0, 90)]
+    rows = [r for d in range(12) for v in ("v0", "v1") if (d, v) != (4, "v0") for r in drive(d, v) + park(d)]
+    late = drive(4, "v0") + drive(30, "v1")
+    lake = refresh.build(bronze(spark, rows), f"{root}/lake")
+    folders = lambda: {str(p.parent.relative_to(tmp_path / "lake")) for p in (tmp_path / "lake").rglob("part-*")}
+    layers = {f.rsplit("/", 1)[0] for f in folders()}
+    assert len(layers) == 14
+    assert all(1 < sum(f.startswith(f"{n}/") for f in folders()) <= tables.FOLDERS for n in layers)
+    before = files_of(tmp_path / "lake" / "silver")
+    every = bronze(spark, rows + late)
+    done = refresh.refresh(lake, every, bronze(spark, late))
+    days = [(T0 + timedelta(days=d)).date() for d in (4, 5, 30)]
+    assert done == {"silver": [days[0], days[2]], "trips": days, "charges": []}
+    after = files_of(tmp_path / "lake" / "silver")
+    assert len(before) - 1 <= sum(after.get(f) == t for f, t in before.items()) < len(before)
+    _same_layers(lake, refresh.build(every, f"{root}/full"))
+
+
+def test_stored_by_spans_of_days(spark, tmp_path, monkeypatch):
+    """Merges where days share folders, a day before 1970 and no day among them."""
+    monkeypatch.setattr(tables, "FOLDERS", 3)
+    path, first = f"file://{tmp_path}/t", date(1969, 12, 25)
+    rows = [(f"k{i % 5}", first + timedelta(days=i), float(i)) for i in range(20)] + [("k9", None, -1.0)]
+    schema = "k string, day date, x double"
+    table = tables.store_by(spark.createDataFrame(rows, schema), path, "day")
+    assert table.columns == ["k", "x", "day"]
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(((k, x, d) for k, d, x in rows), key=str)
+    names = sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir())
+    assert names == ["day_span=-1", "day_span=0", "day_span=1", "day_span=__HIVE_DEFAULT_PARTITION__"]
+    # k1 occurs on other days of the same folder too: only the day named is changed.
+    named = spark.createDataFrame([("k1", rows[1][1], 100.0), ("k3", None, 5.0)], schema)
+    before = files_of(tmp_path / "t")
+    assert tables.upsert_stored(spark, path, named, ["k"], ["x"], "day") == [rows[1][1]]
+    want = [(k, 100.0 if (k, d) == ("k1", rows[1][1]) else x, d) for k, d, x in rows]
+    read = lambda: sorted(map(tuple, tables.stored_by(spark, path).collect()), key=str)
+    assert read() == sorted(want, key=str)
+    after = files_of(tmp_path / "t")
+    assert all(after.get(f) == t for f, t in before.items() if "day_span=-1" not in f)
+    # Without the day, all rows of the key.
+    some = spark.createDataFrame([("k1", 7.0)], "k string, x double")
+    assert tables.upsert_stored(spark, path, some, ["k"], ["x"], "day") == [d for k, d, _ in rows if k == "k1"]
+    assert read() == sorted(((k, 7.0 if k == "k1" else x, d) for k, x, d in want), key=str)
+
+
+def test_retention_where_days_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FOLDERS", 3)
+    path = f"file://{tmp_path}/s"
+    rows = [(f"i{n}", T0 + timedelta(days=n), n % 4 != 3) for n in range(24)] + [("late", T0, False), ("none", None, True)]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp, synced boolean")
+    tables.store_by(store.store_rows(df), path, store.DAY)
+    assert len([p for p in (tmp_path / "s").iterdir() if p.is_dir()]) <= 4
+    done = store.retain_stored(spark, path, 7, T0 + timedelta(days=20, hours=1))
+    day = lambda n: (T0 + timedelta(days=n)).date()
+    assert done == {"dropped": [day(n) for n in range(1, 14) if n % 4 != 3], "rewritten": [day(0)]}
+    left = {i for i, at, ok in rows if at is None or at > T0 + timedelta(days=13) or not ok}
+    assert {r["id"] for r in tables.stored_by(spark, path).collect()} == left
+    ids = spark.createDataFrame([("i7",), ("late",), ("i20",)], "id string")
+    assert store.mark_synced_stored(spark, path, ids) == [day(0), day(7)]
+    flags = {r["id"]: r["synced"] for r in tables.stored_by(spark, path).collect()}
+    assert flags == {i: ok or i in {"i7", "late"} for i, _, ok in rows if i in left}
+
+
+def test_days_with_many_rows_keep_their_own_folder(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FOLDERS", 3)
+    days = spark.range(60).select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 3).cast("int")).alias("day"))
+    assert tables.width_of(days, F.col("day")) > 1
+    monkeypatch.setattr(tables, "FOLDER_ROWS", 3)
+    assert tables.width_of(days, F.col("day")) == 1
+
+
 def test_refresh_needs_slots_within_a_day(spark, tmp_path):
     with pytest.raises(ValueError):
         refresh.Lake(spark, str(tmp_path), gap=7 * 60)

@@ -99,7 +99,7 @@ def mark_synced_stored(spark: SparkSession, path: str, ids: DataFrame, key: str
     open_rows = pending(table).select(key, DAY).join(ids.select(key), key, "left_semi")
     days = tables.values_of(open_rows, DAY)
     if days:
-        rows = table.filter(tables.among(DAY, days))
+        rows = tables.stored_beside(spark, path, DAY, days)
         tables.replace_partitions(mark_synced(rows, ids, key).select(*table.columns), path, DAY, days)
     return days
 
@@ -107,7 +107,8 @@ def mark_synced_stored(spark: SparkSession, path: str, ids: DataFrame, key: str
 def retain_stored(spark: SparkSession, path: str, days: int, now: datetime | Column | None = None) -> dict[str, list]:
     """``retain`` on a table stored by date: dates of which no row is left are
     dropped whole, dates that lose some rows are rewritten, and no other file
-    is touched.  Only dates up to the limit are searched."""
+    is touched; where days share folders, theirs are rewritten for both.  Only
+    dates up to the limit are searched."""
     at = F.current_timestamp() if now is None else _time(now)
     cutoff = at - F.make_dt_interval(F.lit(days))
     table = tables.stored_by(spark, path)
@@ -121,8 +122,11 @@ def retain_stored(spark: SparkSession, path: str, days: int, now: datetime | Col
     found = sorted(tuple(r) for r in counted.collect())  # a row per date
     whole = [d for d, gone, n in found if gone == n]
     some = [d for d, gone, n in found if gone < n]
-    if some:
-        rows = table.filter(tables.among(DAY, some)).filter(~expired)
-        tables.replace_partitions(rows, path, DAY, some)
-    tables.remove_folders(spark, path, [f"{DAY}={d}" for d in whole])
+    apart = tables.layout_of(spark, path, DAY).width == 1
+    changed = some if apart else sorted(whole + some)
+    if changed:
+        rows = tables.stored_beside(spark, path, DAY, changed).filter(~expired)
+        tables.replace_partitions(rows, path, DAY, changed)
+    if apart:
+        tables.remove_folders(spark, path, [f"{DAY}={d}" for d in whole])
     return {"dropped": whole, "rewritten": some}

@@ -8,9 +8,11 @@ reads the few columns it needs of them.
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voltrail import VEHICLE
 from voltrail.operators import charging, gold, telemetry, trips
+from voltrail.sources.tables import store_by, stored_by, width_of
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ class Stored:
 
     @property
     def silver(self) -> DataFrame:
-        return self.read("silver")
+        return stored_by(self.spark, f"{self.root}/silver")
 
     @property
     def trips(self) -> DataFrame:
@@ -36,12 +38,18 @@ class Stored:
         return self.read("charging_sessions")
 
 
+def day_width(bronze: DataFrame) -> int:
+    """Days that share a folder of the layers above, by the rows of a date."""
+    return width_of(telemetry.timed(bronze), F.to_date("timestamp"))
+
+
 def build(bronze: DataFrame, root: str, keys=VEHICLE, carry_gap: bool = True) -> Stored:
-    """Store silver by date, then trips and charging sessions."""
+    """Store silver by date, or by spans of days where dates are many and small,
+    then trips and charging sessions."""
     spark = bronze.sparkSession
     out = Stored(spark, root)
     rows = telemetry.silver(bronze, keys)
-    rows.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{root}/silver")
+    store_by(rows, f"{root}/silver", "date", day_width(bronze))
     # A partition column is read last; the silver table keeps its own order.
     stored = out.silver.select(*rows.columns)
     trips.trip_ratios(trips.trips(stored, keys, carry_gap=carry_gap)).write.mode("overwrite").parquet(

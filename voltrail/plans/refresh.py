@@ -7,7 +7,9 @@ After rows have arrived in bronze, ``refresh`` replaces
 * those sessions that can have changed, see ``splice``,
 * the gold state of dates whose rows or sessions changed,
 
-and no other file.  The result equals a build from scratch.  Sessions are
+and no other file.  Where dates are many and small, a span of days shares a
+folder in every layer, and is made anew as a whole.  The result equals a build
+from scratch.  Sessions are
 stored under their stable key, vehicle and start; their running number is
 given on reading.
 """
@@ -16,7 +18,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltrail import VEHICLE
@@ -24,8 +26,18 @@ from voltrail.operators import gold_state, telemetry
 from voltrail.operators.charging import CHARGE_COLUMNS, charge_spec, charges_of, charging
 from voltrail.operators.sessions import GAP_SECONDS, Measure, SessionSpec, merge_slots, slot_facts
 from voltrail.operators.trips import TRIP_COLUMNS, moving, trip_ratios, trip_spec, trips_of
+from voltrail.plans.pipeline import day_width
 from voltrail.session import checkpointed
-from voltrail.sources.tables import among, replace_partitions, store_by, stored_by, values_of
+from voltrail.sources.tables import (
+    Layout,
+    layout_of,
+    replace_partitions,
+    store_by,
+    stored_beside,
+    stored_by,
+    stored_in,
+    values_of,
+)
 
 SLOT_DAY, START_DAY = "slot_date", "start_date"
 DAY_SECONDS = 86_400
@@ -77,6 +89,10 @@ class Lake:
     def silver(self) -> DataFrame:
         return stored_by(self.spark, self.path("silver"))
 
+    def layout(self, by: str) -> Layout:
+        """Folders by ``by``: spans as long as those of silver, in every layer."""
+        return Layout(by, layout_of(self.spark, self.path("silver"), "date").width)
+
     def sessions(self, kind: Kind) -> DataFrame:
         """Sessions with their number; the window holds one row per session."""
         stored = stored_by(self.spark, self.path(kind.name))
@@ -112,25 +128,25 @@ class Lake:
         return named.withColumn(START_DAY, F.to_date(start))
 
     def state_rows(self, source: str, days: list) -> DataFrame:
-        """The rows that make the gold state of some days: those days alone."""
-        if source == "silver":
-            return self.silver.filter(among("date", days))
-        kind = next(k for k in KINDS if k.name == source)
-        rows = stored_by(self.spark, self.path(source)).filter(among(START_DAY, days))
-        return trip_ratios(rows) if kind.name == "trips" else rows
+        """The rows that make the gold state of some days: those days and what
+        shares their folders."""
+        by = "date" if source == "silver" else START_DAY
+        rows = stored_beside(self.spark, self.path(source), by, days)
+        return trip_ratios(rows) if source == "trips" else rows
 
 
 def build(bronze: DataFrame, root: str, gap: int = GAP_SECONDS, carry_gap: bool = True) -> Lake:
     """All layers from scratch."""
     lake = Lake(bronze.sparkSession, root, gap, carry_gap)
-    store_by(telemetry.silver(bronze), lake.path("silver"), "date")
+    width = day_width(bronze)
+    store_by(telemetry.silver(bronze), lake.path("silver"), "date", width)
     for kind in KINDS:
-        slots = store_by(lake.slots_of(kind, lake.silver), lake.path(f"{kind.name}-slots"), SLOT_DAY)
-        store_by(lake.sessions_of(kind, slots), lake.path(kind.name), START_DAY)
+        slots = store_by(lake.slots_of(kind, lake.silver), lake.path(f"{kind.name}-slots"), SLOT_DAY, width)
+        store_by(lake.sessions_of(kind, slots), lake.path(kind.name), START_DAY, width)
     sources = {"silver": lake.silver, "trips": lake.trips, "charges": lake.charges}
 
     def store(name: str, rollup: gold_state.Rollup) -> None:
-        store_by(rollup.state(sources[rollup.rows]), lake.path(f"gold/{name}"), gold_state.DAY)
+        store_by(rollup.state(sources[rollup.rows]), lake.path(f"gold/{name}"), gold_state.DAY, width)
 
     _side_by_side(store, gold_state.rollups())
     return lake
@@ -146,7 +162,7 @@ def _side_by_side(job: Callable[[str, gold_state.Rollup], None], rollups: dict[s
 def refresh(lake: Lake, bronze: DataFrame, arrived: DataFrame) -> dict[str, list]:
     """Bring the layers up to date with rows that have ``arrived`` in ``bronze``.
 
-    Returns the dates replaced per layer.  Run it again after a failure: every
+    Returns the dates with changes per layer.  Run it again after a failure: every
     step leads to the same tables.
     """
     known = telemetry.of_known_vehicle(telemetry.timed(arrived))
@@ -155,10 +171,10 @@ def refresh(lake: Lake, bronze: DataFrame, arrived: DataFrame) -> dict[str, list
     if not days:
         return {}
     done = {"silver": days}
-    rows = telemetry.silver(bronze.filter(F.to_date("timestamp").isin(days)))
+    rows = telemetry.silver(bronze.filter(lake.layout("date").holds(F.to_date("timestamp"), days)))
     replace_partitions(rows.select(*lake.silver.columns), lake.path("silver"), "date", days)
     for kind in KINDS:
-        slots = lake.slots_of(kind, lake.silver.filter(among("date", days)))
+        slots = lake.slots_of(kind, stored_beside(lake.spark, lake.path("silver"), "date", days))
         replace_partitions(slots, lake.path(f"{kind.name}-slots"), SLOT_DAY, days)
         done[kind.name] = splice(lake, kind, touched)
 
@@ -207,24 +223,30 @@ def splice(lake: Lake, kind: Kind, touched: DataFrame) -> list:
             }
         )
     )
+    layout = lake.layout(START_DAY)
+
+    def span(first: Column, last: Column) -> Column:
+        return F.sequence(layout.folder(first), layout.folder(last))
+
     spans = F.array(
-        F.sequence("first_day", F.greatest("last_day", F.to_date("reach"))),
-        F.when(F.col("before_start").isNotNull(), F.sequence(F.to_date("before_start"), F.to_date("before_end"))),
-        F.when(F.col("after_start").isNotNull(), F.sequence(F.to_date("after_start"), F.to_date("after_end"))),
+        span(F.col("first_day"), F.greatest("last_day", F.to_date("reach"))),
+        F.when(F.col("before_start").isNotNull(), span(F.to_date("before_start"), F.to_date("before_end"))),
+        F.when(F.col("after_start").isNotNull(), span(F.to_date("after_start"), F.to_date("after_end"))),
     )
-    read = values_of(region.select(F.explode(F.flatten(F.array_compact(spans))).alias("d")), "d")
+    read = values_of(region.select(F.explode(F.flatten(F.array_compact(spans))).alias("folder")), "folder")
 
     def inside(rows: DataFrame, at: str) -> DataFrame:
         bounds = region.select(*VEHICLE, "from_ts", "to_ts", "before")
         return rows.join(bounds, list(VEHICLE)).filter(F.col(at).between(F.col("from_ts"), F.col("to_ts"))).drop("from_ts", "to_ts")
 
-    slots = stored_by(spark, lake.path(f"{kind.name}-slots")).filter(among(SLOT_DAY, read))
+    slots = stored_in(spark, lake.path(f"{kind.name}-slots"), SLOT_DAY, read)
     new = checkpointed(lake.sessions_of(kind, inside(slots, "first_ts"), "before").select(*table.columns))
-    old = checkpointed(inside(table.filter(among(START_DAY, read)), start).select(*table.columns))
+    old = checkpointed(inside(stored_in(spark, path, START_DAY, read), start).select(*table.columns))
     changed = values_of(new.exceptAll(old).unionByName(old.exceptAll(new)), START_DAY)
     if changed:
-        rows = table.filter(among(START_DAY, changed))
+        rows = stored_beside(spark, path, START_DAY, changed)
         gone = old.select(*VEHICLE, start)
         kept = rows.join(gone, [*VEHICLE, start], "left_anti").select(*table.columns)
-        replace_partitions(kept.unionByName(new.filter(among(START_DAY, changed))), path, START_DAY, changed)
+        made = new.filter(layout.holds(F.col(START_DAY), changed))
+        replace_partitions(kept.unionByName(made), path, START_DAY, changed)
     return changed

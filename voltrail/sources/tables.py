@@ -8,6 +8,8 @@ an unused folder.
 
 import json
 import uuid
+from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from voltrail import schemas
 from voltrail.functions.measures import join_keyed
+from voltrail.session import checkpointed
 
 # Layers and the bronze table.
 LAYERS = {
@@ -200,55 +203,145 @@ def upsert(target: DataFrame, source: DataFrame, on: list[str], columns: list[st
 #: File beside the partitions that keeps a table's schema, so that one without
 #: rows can be read, and none has to be inferred.
 SCHEMA_FILE = "_schema"
+#: A table by date starts with one folder a date as long as it has no more than
+#: ``FOLDERS`` of them, or one for every ``FOLDER_ROWS`` rows.  More dates than
+#: that share folders: a span of days each.
+FOLDERS, FOLDER_ROWS = 16, 1_000_000
+EPOCH = date(1970, 1, 1)
 
 
-def store_by(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Write a table partitioned by ``by`` and read it."""
+@dataclass(frozen=True)
+class Layout:
+    """The folders of a table stored by ``by``: one a value, or one a span of
+    ``width`` days, numbered from the epoch."""
+
+    by: str
+    width: int = 1
+
+    @property
+    def column(self) -> str:
+        return self.by if self.width == 1 else f"{self.by}_span"
+
+    def folder(self, value: Column) -> Column:
+        if self.width == 1:
+            return value
+        return F.floor(F.unix_date(value) / self.width).cast("int")
+
+    def folders(self, values: list) -> list:
+        if self.width == 1:
+            return values
+        return sorted({v if v is None else (v - EPOCH).days // self.width for v in values}, key=_null_first)
+
+    def holds(self, value: Column, values: list) -> Column:
+        """True for what lies in a folder that one of ``values`` lies in."""
+        return _among(self.folder(value), self.folders(values))
+
+
+def _null_first(value):
+    return value is not None, value
+
+
+def _among(value: Column, values: list) -> Column:
+    known = [v for v in values if v is not None]
+    return value.isin(known) | value.isNull() if None in values else value.isin(known)
+
+
+def width_of(df: DataFrame, day: Column) -> int:
+    """The width of spans for a table of the rows of ``df`` by ``day``."""
+    counted = df.groupBy(F.unix_date(day).alias("day")).count().filter("day IS NOT NULL").collect()  # a row per date
+    most, width = max(FOLDERS, sum(r["count"] for r in counted) // FOLDER_ROWS), 1
+    while len({r["day"] // width for r in counted}) > most:
+        width *= 2
+    return width
+
+
+def store_by(df: DataFrame, path: str, by: str, width: int | None = None) -> DataFrame:
+    """Write a table partitioned by ``by`` and read it.
+
+    ``width`` is that of the spans of days that share a folder; not given, it
+    is found by counting the rows of ``df`` per date first.
+    """
     spark = df.sparkSession
-    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+    if width is None:
+        width = width_of(df, F.col(by)) if isinstance(df.schema[by].dataType, T.DateType) else 1
+    layout = Layout(by, width)
+    _write_by(df, layout, path)
     fields = [*[f for f in df.schema.fields if f.name != by], df.schema[by]]
+    if width > 1:
+        fields.append(T.StructField(layout.column, T.IntegerType(), True, {"width": width}))
     write_text(spark, f"{path}/{SCHEMA_FILE}", T.StructType(fields).json())
     return stored_by(spark, path)
 
 
+def _write_by(df: DataFrame, layout: Layout, path: str, overwrite: str = "static") -> None:
+    placed = df if layout.width == 1 else df.withColumn(layout.column, layout.folder(F.col(layout.by)))
+    spread = placed.hint("rebalance", layout.column)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy(layout.column).parquet(path)
+
+
+def _schema(spark: SparkSession, path: str) -> T.StructType | None:
+    if SCHEMA_FILE not in list_files(spark, path):
+        return None
+    return T.StructType.fromJson(json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}")))
+
+
+def layout_of(spark: SparkSession, path: str, by: str) -> Layout:
+    """How the table at ``path`` is cut into folders."""
+    known = _schema(spark, path)
+    return Layout(by, known.fields[-1].metadata.get("width", 1) if known else 1)
+
+
 def stored_by(spark: SparkSession, path: str) -> DataFrame:
     """A table written by ``store_by``, or any other parquet folder."""
-    if SCHEMA_FILE not in list_files(spark, path):
+    known = _schema(spark, path)
+    if known is None:
         return spark.read.parquet(path)
-    found = T.StructType.fromJson(json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}")))
-    return spark.read.schema(found).parquet(path)
+    table, last = spark.read.schema(known).parquet(path), known.fields[-1]
+    return table.drop(last.name) if "width" in last.metadata else table
 
 
-def among(by: str, values: list) -> Column:
-    """Literals, so that a scan of a stored table lists only these partitions."""
-    known = [v for v in values if v is not None]
-    return F.col(by).isin(known) | F.col(by).isNull() if None in values else F.col(by).isin(known)
+def stored_in(spark: SparkSession, path: str, by: str, folders: list) -> DataFrame:
+    """All rows of some folders of a stored table; a scan lists only these."""
+    known = _schema(spark, path)
+    table = spark.read.parquet(path) if known is None else spark.read.schema(known).parquet(path)
+    layout = layout_of(spark, path, by)
+    rows = table.filter(_among(F.col(layout.column), folders))
+    return rows if layout.width == 1 else rows.drop(layout.column)
+
+
+def stored_beside(spark: SparkSession, path: str, by: str, values: list) -> DataFrame:
+    """All rows of the folders that ``values`` lie in, whole: those that
+    ``replace_partitions`` replaces for these values."""
+    return stored_in(spark, path, by, layout_of(spark, path, by).folders(values))
 
 
 def values_of(df: DataFrame, by: str) -> list:
-    """The distinct values of a partition column: one per partition at most."""
-    return sorted((r[0] for r in df.select(by).distinct().collect()), key=lambda v: (v is not None, v))
+    """The distinct values of a partition column: one per date at most."""
+    return sorted((r[0] for r in df.select(by).distinct().collect()), key=_null_first)
 
 
 def replace_partitions(rows: DataFrame, path: str, by: str, values: list) -> list[str]:
-    """Put ``rows`` in place of some partitions; all other files stay as they are.
-
-    ``rows`` may read the table: they are written beside it before anything is
-    replaced, and stay there if the job fails on the way, so it can be run
-    again.  Partitions among ``values`` that get no rows are removed.  A reader
-    of these partitions should not run at that moment.
+    """Put ``rows`` in place of the folders of some values; all other files
+    stay as they are.
+
+    ``rows`` are all rows of these folders, see ``stored_beside``.  They may
+    read the table: they are written beside it before anything is replaced, and
+    stay there if the job fails on the way, so it can be run again.  Folders
+    that get no rows are removed.  A reader of them should not run at that
+    moment.
     """
     spark = rows.sparkSession
     if not values:
         return []
+    layout = layout_of(spark, path, by)
     stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
-    rows.hint("rebalance", by).write.partitionBy(by).parquet(stage)
+    _write_by(rows, layout, stage)
     given = list_folders(spark, stage)
     if given:
-        spark.read.schema(rows.schema).parquet(stage).hint("rebalance", by).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy(by).parquet(path)
-    names = [f"{by}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for v in values]
+        _write_by(spark.read.schema(rows.schema).parquet(stage), layout, path, "dynamic")
+    names = [
+        f"{layout.column}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for v in layout.folders(values)
+    ]
     remove_folders(spark, path, [n for n in names if n not in given])
     above, _, name = stage.rpartition("/")
     remove_folders(spark, above, [name])
@@ -258,25 +351,37 @@ def replace_partitions(rows: DataFrame, path: str, by: str, values: list) -> lis
 def upsert_stored(
     spark: SparkSession, path: str, source: DataFrame, on: list[str], columns: list[str], by: str
 ) -> list:
-    """``upsert`` into a stored table; only partitions that hold a match are
-    read whole and rewritten.  Returns their values.
+    """``upsert`` into a stored table; only folders that hold a match are read
+    whole and rewritten.  Returns the values of ``by`` with a match.
 
-    Where ``source`` has the partition column too, only partitions it names are
+    Where ``source`` has the partition column too, only values it names are
     searched; else a scan of the key columns finds them.
     """
+    source = checkpointed(source)  # read several times below
     table = stored_by(spark, path)
-    searched = table.filter(among(by, values_of(source, by))) if by in source.columns else table
-    alike = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in on]
-    matched = searched.select(*dict.fromkeys([*on, by])).alias("t").join(
-        source.select(*on).alias("s"), reduce(lambda a, b: a & b, alike), "left_semi"
-    )
-    values = values_of(matched, by)
+    searched = table
+    if by in source.columns:
+        named = source.select(by).distinct()
+        searched = _alike(stored_beside(spark, path, by, values_of(named, by)), named, [by], "left_semi")
+    found = checkpointed(_alike(searched.select(*dict.fromkeys([*on, by])), source, on, "left_semi").select(by).distinct())
+    values = values_of(found, by)
     if values:
-        rows = table.filter(among(by, values))
-        replace_partitions(upsert(rows, source, on, columns), path, by, values)
+        rows = stored_beside(spark, path, by, values)
+        if layout_of(spark, path, by).width == 1:
+            new = upsert(rows, source, on, columns)
+        else:  # other values share the folders
+            beside = _alike(rows, found, [by], "left_anti")
+            new = upsert(_alike(rows, found, [by], "left_semi"), source, on, columns).unionByName(beside)
+        replace_partitions(new, path, by, values)
     return values
 
 
+def _alike(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join in which NULL keys match each other."""
+    alike = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in on]
+    return left.alias("l").join(right.select(*on).alias("r"), reduce(lambda a, b: a & b, alike), how)
+
+
 def partial_rows(df: DataFrame, columns=schemas.INSERT_COLUMNS) -> DataFrame:
     """Bronze rows that fill only the insert columns; the rest is NULL."""
     empty = df.sparkSession.createDataFrame([], schemas.BRONZE)
