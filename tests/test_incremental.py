@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tests.test_telemetry import T0, bronze, plan
 from voltrail import schemas
-from voltrail.operators import charging, gold_state, store, telemetry, trips
-from voltrail.plans import refresh
+from voltrail.operators import charging, gold, gold_state, store, telemetry, trips
+from voltrail.plans import pipeline, refresh
 from voltrail.sources import files, tables
 from voltrail.sources.batches import KEEP, BatchLog
 from voltrail.streaming import ingest, sync
@@ -258,6 +258,32 @@ def test_many_small_dates_share_folders(spark, tmp_path, monkeypatch):
     _same_layers(lake, refresh.build(every, f"{root}/full"))
 
 
+def _forty_dates() -> list[dict]:
+    """A drive of either vehicle and a charge on every one of forty dates."""
+    row = {"current_amps": 9.0, "voltage_volts": 400.0, "battery_capacity_ah": 90.0, "ambient_temp_f": 61.0}
+    drive = [
+        {"at": d * 86_400 + s, "vehicle_id": v, "speed_kmh": 50 + d, "distance_mi": s / 20, **row}
+        for d in range(40) for v in ("v0", "v1") for s in (0, 60, 120)
+    ]
+    charge = [
+        {"at": d * 86_400 + 9_000 + s, "vehicle_id": "v0", "speed_kmh": 0, "current_amps": -9.0, "voltage_volts": 400.0}
+        for d in range(40) for s in (0, 90)
+    ]
+    return drive + charge
+
+
+def test_daily_tables_over_stored_layers_of_many_dates(spark, tmp_path):
+    """Silver below the trips has few folders, and the daily tables, of the fleet
+    and by vehicle, equal those without anything stored."""
+    rows = bronze(spark, _forty_dates())
+    stored = pipeline.build(rows, f"file://{tmp_path}")
+    assert 1 < len(list((tmp_path / "silver").glob("*=*"))) <= 16
+    found = trips.trip_ratios(trips.trips(telemetry.silver(rows)))
+    for keys, n in ((), 40), (("vehicle_id",), 80):
+        got = gold.daily_summary(stored.trips, keys)
+        assert got.count() == n and same(got, gold.daily_summary(found, keys))
+
+
 def test_stored_by_spans_of_days(spark, tmp_path, monkeypatch):
     """Merges where days share folders, a day before 1970 and no day among them."""
     monkeypatch.setattr(tables, "FOLDERS", 3)
