@@ -272,6 +272,24 @@ def _forty_dates() -> list[dict]:
     return drive + charge
 
 
+def test_a_refresh_that_touches_every_date(spark, tmp_path):
+    """One corrected copy a date, and a drive between: folders and what a
+    refresh carries in its filters do not grow with the dates."""
+    root, rows = f"file://{tmp_path}", _forty_dates()
+    late = [{**r, "speed_kmh": 20, "_ingested_at": T0 + timedelta(days=99)} for r in rows[::6]]
+    late += [{"at": 20 * 86_400 + 30_000 + s, "vehicle_id": "v1", "speed_kmh": 30, "distance_mi": s / 20} for s in (0, 60)]
+    lake = refresh.build(bronze(spark, rows), f"{root}/lake")
+    every = bronze(spark, rows + late)
+    done = refresh.refresh(lake, every, bronze(spark, late))
+    assert len(done["silver"]) == len(done["trips"]) == 40
+    for layer in {p.parent.parent for p in (tmp_path / "lake").rglob("part-*")}:
+        assert len(list(layer.glob("*=*"))) <= 16, layer
+    rows_of = lake.state_rows("silver", done["silver"])
+    (filters,) = re.findall(r"PartitionFilters: \[([^\n]*)\]", plan(rows_of))
+    assert filters.count(",") < 20 and rows_of.count() == lake.silver.count()
+    _same_layers(lake, refresh.build(every, f"{root}/full"))
+
+
 def test_daily_tables_over_stored_layers_of_many_dates(spark, tmp_path):
     """Silver below the trips has few folders, and the daily tables, of the fleet
     and by vehicle, equal those without anything stored."""
